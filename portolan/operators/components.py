@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portolan.session import discard, materialize
+from portolan.session import discard, materialize, ship_code
 
 
 def spanning_forest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,6 +74,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     Edges with a null end are ignored; self-loops only name their node; the
     order and repetition of edges have no effect; no edges give no rows.
     """
+    ship_code(edges.sparkSession)
     kind = edges.schema[src].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()

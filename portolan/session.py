@@ -32,6 +32,14 @@ def build_session(app: str = "portolan", master: str | None = None, shuffle_part
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package where only the driver's sys.path has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which every executor can reach.
 
