@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from portolan.llm.shingles import U, mix, shingle_keys, slices
 from portolan.operators.components import connected_components
-from portolan.session import materialize, private_name
+from portolan.session import materialize, private_name, ship_code
 
 
 @dataclass(frozen=True)
@@ -196,6 +196,7 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     """
     p = params
     spark = docs.sparkSession
+    ship_code(spark)
     rows = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("t"))
     df, n = document_frequencies(rows.select("t"), p)
     idf = spark.sparkContext.broadcast(idf_table(df, n, p))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from portolan.llm import minhash, quality
+from portolan.llm import minhash, mixing, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +18,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=True)
+    return out.withColumn("keep_probability", F.round("keep_probability", 6)).withColumn("mix_weight", F.round("mix_weight", 6))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_pii(_table(spark, sf_dir, "documents"), spans="pii_spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op7_minhash_near_dedup": op7_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_packing, op7_minhash_near_dedup, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.clean_lines_sql()}
+    return {"op1_quality_rules": quality.clean_lines_sql(), "op2_source_mixing": mixing.mix_sources_sql()}
