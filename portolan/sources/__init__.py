@@ -1,0 +1 @@
+"""Readers of the raw inputs and writers of tables."""

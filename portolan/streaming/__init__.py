@@ -1,0 +1 @@
+"""Incremental models as streams."""
