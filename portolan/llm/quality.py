@@ -22,16 +22,18 @@ BOILERPLATE = (
 LETTERS = r"[^\p{L}]"
 
 
-def line_passes(line: Column, max_symbols: float, min_distinct: float, repeat_from: int) -> Column:
+def line_passes(line: Column, max_symbols: float, max_repeats: float, repeat_from: int) -> Column:
     """Whether a trimmed line that isn't blank stays.
 
     Punctuation: it ends a sentence, or has one ended inside; symbols are at
     most ``max_symbols`` of its characters; it isn't written in capitals with
     an exclamation mark or throughout five words or more. Navigation: no row
     of links or bare menu word. Boilerplate: no stock phrase; of
-    ``repeat_from`` words or more, at least ``min_distinct`` are distinct.
+    ``repeat_from`` words or more, at most ``max_repeats`` equal the word
+    before.
     """
     words = F.split(line, " ", -1)
+    repeats = F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)
     letters = F.regexp_replace(line, LETTERS, "")
     shouted = (F.length(letters) >= 4) & (F.upper(line) == line) & (F.lower(line) != line) & ((F.size(words) >= 5) | line.contains("!!"))
     return (
@@ -40,12 +42,12 @@ def line_passes(line: Column, max_symbols: float, min_distinct: float, repeat_fr
         & ~shouted
         & ~line.rlike(NAVIGATION)
         & ~line.rlike(BOILERPLATE)
-        & ((F.size(words) < repeat_from) | (F.size(F.array_distinct(words)) >= F.size(words) * F.lit(min_distinct)))
+        & ((F.size(words) < repeat_from) | (F.size(repeats) <= F.size(words) * F.lit(max_repeats)))
     )
 
 
 def clean_lines(
-    docs: DataFrame, text: str = "text", n_chars: str = "n_chars", max_lost: float = 0.5, max_symbols: float = 0.1, min_distinct: float = 0.35, repeat_from: int = 10
+    docs: DataFrame, text: str = "text", n_chars: str = "n_chars", max_lost: float = 0.5, max_symbols: float = 0.1, max_repeats: float = 0.5, repeat_from: int = 10
 ) -> DataFrame:
     """The documents that keep enough text, with the failing lines taken out.
 
@@ -63,7 +65,7 @@ def clean_lines(
     names = list(docs.columns)
     # The lines are computed once: without the array of both sums, Spark would evaluate the rules for each use.
     trimmed = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: F.length(x) > 0)
-    kept = F.filter(trimmed, lambda x: line_passes(x, max_symbols, min_distinct, repeat_from))
+    kept = F.filter(trimmed, lambda x: line_passes(x, max_symbols, max_repeats, repeat_from))
     total = F.aggregate(trimmed, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     left = F.aggregate(F.col("v.kept"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     staged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(kept.alias("kept"), total.alias("total")).alias("v"))
@@ -82,7 +84,7 @@ def clean_lines(
     return out.select(*cols)
 
 
-def clean_lines_sql(table: str = "documents", max_lost: float = 0.5, max_symbols: float = 0.1, min_distinct: float = 0.35, repeat_from: int = 10) -> str:
+def clean_lines_sql(table: str = "documents", max_lost: float = 0.5, max_symbols: float = 0.1, max_repeats: float = 0.5, repeat_from: int = 10) -> str:
     """The same for DuckDB over a table like ``documents``."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     return f"""
@@ -95,7 +97,7 @@ def clean_lines_sql(table: str = "documents", max_lost: float = 0.5, max_symbols
           AND NOT (length(regexp_replace(x, {q(LETTERS)}, '', 'g')) >= 4 AND upper(x) = x AND lower(x) <> x AND (len(string_split(x, ' ')) >= 5 OR contains(x, '!!')))
           AND NOT regexp_matches(x, {q(NAVIGATION)})
           AND NOT regexp_matches(x, {q(BOILERPLATE)})
-          AND (len(string_split(x, ' ')) < {repeat_from} OR len(list_distinct(string_split(x, ' '))) >= len(string_split(x, ' ')) * {min_distinct}::DOUBLE)) AS kept
+          AND (len(string_split(x, ' ')) < {repeat_from} OR len(list_filter(list_zip(string_split(x, ' '), string_split(x, ' ')[2:], true), lambda p: p[1] = p[2])) <= len(string_split(x, ' ')) * {max_repeats}::DOUBLE)) AS kept
       FROM lines
     ), counted AS (
       SELECT *, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS total, coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS remain FROM judged
