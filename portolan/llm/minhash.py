@@ -31,7 +31,7 @@ class MinHashParams:
     bands: int = 24
     rows: int = 3
     idf_bits: int = 20  # document frequencies are kept for 2^idf_bits hashed features: 4 MB of weights whatever the corpus
-    smoothing: float = 0.01  # idf = ln(1 + 1/(df/N + smoothing)): what fewer than about 1 % of documents have counts as rare
+    smoothing: float = 0.05  # idf = ln(1 + 1/(df/N + smoothing)): what fewer than about 5 % of documents have counts as rare, so that the size of a group of copies hardly lowers their similarity
     table_bits: int = 12
     seed: int = 7
 
