@@ -49,13 +49,13 @@ def _filler(r: random.Random) -> str:
         x = r.random()
         if x < 0.05:
             w = w.capitalize()
-        elif x < 0.07:
-            w = str(r.choice((r.randint(0, 9), r.randint(10, 99), r.randint(100, 99999), r.randint(1900, 2030), f"{r.random() * 100:.2f}", f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}", f"${r.randint(1, 99)},{r.randint(100, 999)}", f"{r.randint(1, 99)}%", f"({r.randint(1, 99)})", f"#{r.randint(1, 9999)}", f"{r.randint(1, 999)},{r.randint(100, 999)},{r.randint(100, 999)}")))
-        elif x < 0.075:
+        elif x < 0.085:
+            w = str(r.choice((r.randint(0, 9), r.randint(10, 99), r.randint(100, 99999), r.randint(1900, 2030), f"{r.random() * 100:.2f}", f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"{r.randint(1890, 2040)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}", f"{r.randint(1, 31):02d}.{r.randint(1, 12):02d}.{r.randint(1890, 2040)}", f"{r.randint(1890, 2040)}-{r.randint(1890, 2040)}", f"{r.randint(1, 999)}-{r.randint(1, 999)}", f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}", f"${r.randint(1, 99)},{r.randint(100, 999)}", f"{r.randint(1, 99)}%", f"({r.randint(1, 99)})", f"#{r.randint(1, 9999)}", f"{r.randint(1, 999)},{r.randint(100, 999)},{r.randint(100, 999)}")))
+        elif x < 0.09:
             w = r.choice(("http://", "https://www.")) + w + ".example.com/" + r.choice(s)
-        elif x < 0.08:
+        elif x < 0.095:
             w = r.choice(("token", "key", "password", "@", "+", "=", '"', "the token is", "phone:", "email:", "call", "|", "licensed under CC BY-NC 4.0.", "Version 2.0."))
-        elif x < 0.085:
+        elif x < 0.1:
             w = w + w + w + w + w
         out.append(w)
     style = r.random()
