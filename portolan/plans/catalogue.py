@@ -117,11 +117,11 @@ def q_shortest_desc(spark, sf_dir):
   s AS (SELECT consignee, code, sum(pow(n::DOUBLE / total, 2)) AS hhi, max(n::DOUBLE / total) AS top FROM b JOIN t USING (consignee, code) GROUP BY ALL),
   k AS (SELECT consignee, code, sum(pow(sh, 2)) AS hhi, max(sh) AS top FROM (SELECT consignee, code, origin, sum(n)::DOUBLE / max(total) AS sh FROM b JOIN t USING (consignee, code) GROUP BY ALL) GROUP BY ALL)
   SELECT consignee, code, supplier_count, country_count, total::BIGINT AS total_shipment_count, round(t.w, 2) AS total_weight_kg, round(t.c, 2) AS total_landed_cost_usd,
-    round(s.hhi, 6) AS supplier_hhi, round(s.top, 6) AS top_supplier_share, round(k.hhi, 6) AS country_hhi, round(k.top, 6) AS top_country_share, s.top > 0.7 AS is_single_source, k.top > 0.7 AS is_single_country
+    round(s.hhi, 12) AS supplier_hhi, round(s.top, 12) AS top_supplier_share, round(k.hhi, 12) AS country_hhi, round(k.top, 12) AS top_country_share, s.top > 0.7 AS is_single_source, k.top > 0.7 AS is_single_country
   FROM t JOIN s USING (consignee, code) JOIN k USING (consignee, code)""")
 def q_concentration_mart(spark, sf_dir):
     m = gold.mart_concentration_metrics(shipments(spark, sf_dir), "consignee", "code", "supplier", "origin", "weight", "value")
-    rounded = {c: F.round(c, 6) for c in ("supplier_hhi", "top_supplier_share", "country_hhi", "top_country_share")}
+    rounded = {c: F.round(c, 12) for c in ("supplier_hhi", "top_supplier_share", "country_hhi", "top_country_share")}
     return m.withColumns(rounded | {c: F.round(c, 2) for c in ("total_weight_kg", "total_landed_cost_usd")})
 
 
@@ -129,27 +129,27 @@ _TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 @query(f"""WITH {_SHIP_SQL}, b AS (SELECT consignee, chapter, supplier, count(*)::DOUBLE AS n FROM ship GROUP BY ALL),
-  s AS (SELECT consignee, chapter, n / sum(n) OVER (PARTITION BY consignee, chapter) AS share FROM b), h AS (SELECT consignee, chapter, round(sum(share * share), 6) AS hhi FROM s GROUP BY ALL)
+  s AS (SELECT consignee, chapter, n / sum(n) OVER (PARTITION BY consignee, chapter) AS share FROM b), h AS (SELECT consignee, chapter, round(sum(share * share), 12) AS hhi FROM s GROUP BY ALL)
   SELECT consignee, {", ".join(f"max(CASE WHEN chapter = '{t}' THEN hhi END) AS {t.lower()}" for t in _TYPES)} FROM h GROUP BY consignee""")
 def q_heatmap_pivot(spark, sf_dir):
-    cells = rel.hhi(shipments(spark, sf_dir), ["consignee", "chapter"], ["supplier"]).withColumn("hhi", F.round("hhi", 6))
+    cells = rel.hhi(shipments(spark, sf_dir), ["consignee", "chapter"], ["supplier"]).withColumn("hhi", F.round("hhi", 12))
     return rel.pivot_matrix(cells, "consignee", "chapter", "hhi", _TYPES).select("consignee", *[F.col(t).alias(t.lower()) for t in _TYPES])
 
 
 # I13, M: duty and scenarios
 
 
-@query(f"WITH {_SHIP_SQL} SELECT consignee, origin, count(*) AS n, round(sum({_DUTY}), 4) AS duty, round(sum(value * (1 + {_DUTY} / 100.0)), 4) AS landed FROM ship GROUP BY ALL")
+@query(f"WITH {_SHIP_SQL} SELECT consignee, origin, count(*) AS n, round(sum({_DUTY}), 4) AS duty, round(sum(value * (1 + {_DUTY} / 100.0)), 6) AS landed FROM ship GROUP BY ALL")
 def q_landed_cost(spark, sf_dir):
-    return dutied(spark, sf_dir).groupBy("consignee", "origin").agg(F.count("*").alias("n"), F.round(F.sum("duty"), 4).alias("duty"), F.round(F.sum("landed"), 4).alias("landed"))
+    return dutied(spark, sf_dir).groupBy("consignee", "origin").agg(F.count("*").alias("n"), F.round(F.sum("duty"), 4).alias("duty"), F.round(F.sum("landed"), 6).alias("landed"))
 
 
 _SCENARIOS = (scenario.Scenario("promo everywhere", 25.0, ("PROMO",)), scenario.Scenario("two origins", 10.0, (), ("NATION_1", "NATION_2")), scenario.Scenario("both", 15.0, ("LARGE", "SMALL"), ("NATION_3",)), scenario.Scenario("all", 5.0))
 _SCENARIO_SQL = f"""WITH {_SHIP_SQL}, g AS (SELECT consignee, chapter, origin, count(*) AS total_shipments, avg({_DUTY}) AS rate, sum(value) AS value, sum(value * (1 + {_DUTY} / 100.0)) AS landed FROM ship GROUP BY ALL),
   s(scenario_name, pp, chapters, origins) AS (VALUES ('promo everywhere', 25.0::DOUBLE, ['PROMO'], []::VARCHAR[]), ('two origins', 10.0, [], ['NATION_1', 'NATION_2']), ('both', 15.0, ['LARGE', 'SMALL'], ['NATION_3']), ('all', 5.0, [], [])),
   x AS (SELECT *, CASE WHEN (len(chapters) = 0 OR list_contains(chapters, chapter)) AND (len(origins) = 0 OR list_contains(origins, origin)) THEN pp ELSE 0 END AS inc FROM g CROSS JOIN s)
-  SELECT consignee, scenario_name, chapter AS hs_chapter, origin AS origin_country, total_shipments, round(rate, 6) AS baseline_duty_rate_pct, round(rate + inc, 6) AS scenario_duty_rate_pct, round(value, 4) AS baseline_value_usd,
-    round(landed, 4) AS baseline_landed_cost_usd, round(landed + value * inc / 100.0, 4) AS scenario_landed_cost_usd, round(value * inc / 100.0, 4) AS delta_usd, round(value * inc / 100.0 / landed * 100.0, 6) AS delta_pct FROM x"""
+  SELECT consignee, scenario_name, chapter AS hs_chapter, origin AS origin_country, total_shipments, round(rate, 6) AS baseline_duty_rate_pct, round(rate + inc, 6) AS scenario_duty_rate_pct, round(value, 6) AS baseline_value_usd,
+    round(landed, 6) AS baseline_landed_cost_usd, round(landed + value * inc / 100.0, 6) AS scenario_landed_cost_usd, round(value * inc / 100.0, 6) AS delta_usd, round(value * inc / 100.0 / landed * 100.0, 6) AS delta_pct FROM x"""
 
 
 def _scenarios(spark: SparkSession, sf_dir: str, which=_SCENARIOS) -> DataFrame:
@@ -158,7 +158,7 @@ def _scenarios(spark: SparkSession, sf_dir: str, which=_SCENARIOS) -> DataFrame:
         F.count("*").alias("total_shipments"), F.avg("duty").alias("baseline_duty_rate_pct"), F.sum("value").alias("baseline_value_usd"), F.sum("landed").alias("baseline_landed_cost_usd")
     )
     out = scenario.simulate(groups, scenario.scenario_frame(spark, which)).drop("additional_rate_pp")
-    cents = {c: F.round(c, 4) for c in ("baseline_value_usd", "baseline_landed_cost_usd", "scenario_landed_cost_usd", "delta_usd")}
+    cents = {c: F.round(c, 6) for c in ("baseline_value_usd", "baseline_landed_cost_usd", "scenario_landed_cost_usd", "delta_usd")}
     return out.withColumns(cents | {c: F.round(c, 6) for c in ("baseline_duty_rate_pct", "scenario_duty_rate_pct", "delta_pct")})
 
 
