@@ -78,11 +78,11 @@ def cosine_top_k(queries: DataFrame, refs: DataFrame, q_vec: str, r_vec: str, r_
                     out[info.columns] = info.iloc[at.ravel()].reset_index(drop=True)
                     out["sim"] = sims.ravel()
                     if exclude_equal:
-                        out["__q"] = rows
+                        out["__row"] = rows
                         out = out[out[exclude_equal] != out[r_key]]
-                        out = out[out.groupby("__q").cumcount() < k]
-                        out["rank"] = out.groupby("__q").cumcount() + 1
-                        out = out.drop(columns="__q")
+                        out = out[out.groupby("__row").cumcount() < k]
+                        out["rank"] = out.groupby("__row").cumcount() + 1
+                        out = out.drop(columns="__row")
                     else:
                         out["rank"] = np.tile(np.arange(1, at.shape[1] + 1), len(b))
                     yield out

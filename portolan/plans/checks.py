@@ -106,23 +106,28 @@ def suite() -> list[Check]:
         add(table, key, "unique not_null")
     add("fact_tariff_events", "date_key", "not_null")
     add("fact_tariff_events", "rate_change_pp", "not_null")
-    add("fact_tariff_events", "event_type", "not_null accepted", ["section_232", "section_301", "other"])
+    add("fact_tariff_events", "event_type", "accepted", ["section_232", "section_301", "other"])
     add("tariff_events", "event_type", "not_null accepted", ["section_232", "section_301"])
     add("tariff_events", "event_date", "not_null")
-    add("tariff_events", "hs_scope", "not_null")
-    add("tariff_events", "country_scope", "not_null")
+    add("tariff_events", "rate_change_pp", "not_null")
+    for seed, column in (("hs_eval_seed", "product_description"), ("hs_eval_seed_v2", "product_text")):
+        add(seed, column, "not_null")
+        add(seed, "correct_hs_6", "not_null")
+    add("dim_ticker", "cik", "not_null")
+    add("fact_10k_risk_chunks", "ticker", "not_null")
+    add("fact_10k_risk_chunks", "chunk_text", "not_null")
     add("fact_shipments", "hs_6", "not_null related", parent=("dim_hs_code", "hs_6"), severity="warn")
     add("fact_shipments", "origin_country_code", "not_null related", parent=("dim_country", "country_code"))
     add("fact_shipments", "date_key", "not_null related", parent=("dim_date", "date_key"))
     add("mart_concentration_metrics", "consignee_key", "not_null related", parent=("dim_consignee", "consignee_key"))
     add("mart_concentration_metrics", "hs_6", "not_null related", parent=("dim_hs_code", "hs_6"), severity="warn")
-    for c in ("consignee_key", "scenario_name", "delta_usd", "hs_chapter"):
+    for c in ("consignee_key", "scenario_name", "hs_chapter", "origin_country"):
         add("mart_scenario_examples", c, "not_null")
     out.append(Check("fact_10k_risk_chunks", "chunk_length", "range", lambda t: between(t["fact_10k_risk_chunks"], "chunk_length", 200, 1700)))
-    out.append(Check("fact_10k_risk_chunks", "*", "row_count", lambda t: row_count_between(t["fact_10k_risk_chunks"], 1000, 3000), "warn"))
+    out.append(Check("fact_10k_risk_chunks", "*", "row_count", lambda t: row_count_between(t["fact_10k_risk_chunks"], 1000, 3000)))
     out.append(Check("silver_bol_shipments_classified", "*", "row_count", lambda t: same_row_count(t["silver_bol_shipments_classified"], t["silver_bol_shipments"])))
     out.append(Check("mart_scenario_examples", "*", "anchor", lambda t: scenario_anchor(t["mart_scenario_examples"])))
-    out.append(Check("mart_scenario_examples", "*", "row_count", lambda t: row_count_between(t["mart_scenario_examples"], 10, 200), "warn"))
+    out.append(Check("mart_scenario_examples", "*", "row_count", lambda t: row_count_between(t["mart_scenario_examples"], 10, 200)))
     return out
 
 
