@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from portolan.functions.text import full_match
 
-SIX = r"[0-9]{4}\.?[0-9]{2}"
+SIX = r"\d{4}\.?\d{2}"
 
 
 def is_sentinel_identifier(identifier: Column) -> Column:
     """Null, zero, or a short number filled up with six zeros or more: no real bill of lading. Never null itself."""
     s = identifier.cast("string")
-    return identifier.isNull() | F.coalesce((identifier == 0) | full_match(s, r"[1-9][0-9]{0,5}0{6,}"), F.lit(False))
+    return identifier.isNull() | F.coalesce((identifier == 0) | full_match(s, r"[1-9]\d{0,5}0{6,}"), F.lit(False))
 
 
 def _names_code(text: Column) -> Column:

@@ -33,7 +33,7 @@ def normalize_company_name(col: Column) -> Column:
     leading blanks, not both.
     """
     forms = "|".join(LEGAL_FORMS)
-    steps = [(r",\s+", " "), (rf"(?i)\b(?:{forms})\b", ""), (r"(?i)[^a-z0-9 ]", ""), (r"\s+", " "), (r"(?i)^the |^\s+|\s+$", "")]
+    steps = [(r",\s+", " "), (rf"(?i)\b(?:{forms})\b", ""), (r"(?i)[^a-z0-9 ]", ""), (r"\s+", " "), (r"(?i)^\s+|\s+$|^the ", "")]
     return F.trim(F.lower(_chain(col, steps)))
 
 
@@ -63,14 +63,14 @@ def is_placeholder_name(name: Column) -> Column:
 _AFTER = r"[#: ]*"
 #: What is taken out of product texts, one after the other; each step sees what the one before left.
 PRODUCT_NOISE = (
-    rf"PO{_AFTER}[0-9]+",
+    rf"PO{_AFTER}\d+",
     rf"STYLE{_AFTER}[-A-Z0-9]+",
     rf"(?:REF|INVOICE|INV|ORDER){_AFTER}[-A-Z0-9]+",
-    r"HS[ -]?CODE[ :]*[0-9]{4,10}",
-    r"[A-Z]{4}[0-9]{7}",
+    r"HS[ -]?CODE[ :]*\d{4,10}",
+    r"[A-Z]{4}\d{7}",
     r"[0-9]+[,.]?[0-9]* ?(?:" + "|".join("KG KGS LBS MT CBM CTN PLT PKG PCS CTNS".split()) + ")",
-    r"\b[0-9]{5,}\b",
-    r"UN ?[0-9]{4}",
+    r"\b\d{5,}\b",
+    r"UN ?\d{4}",
 )
 
 

@@ -278,7 +278,7 @@ def q_search_eq(spark, sf_dir):
 # H, I: column functions
 
 
-@query("SELECT c_custkey, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, ',\\s+', ' ', 'g'), '(?i)\\b(incorporated|corporation|company|limited|corp|gmbh|sarl|inc|llc|llp|ltd|plc|pty|spa|srl|ab|ag|as|bv|co|kk|nv|oy|sa)\\b', '', 'g'), '(?i)[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g'), '(?i)^the |^\\s+|\\s+$', '', 'g'))) AS norm FROM (SELECT c_custkey, 'The ' || c_name || ' & Co., Ltd.' AS x FROM customer)".replace("\\\\", "\\"))
+@query("SELECT c_custkey, trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, ',\\s+', ' ', 'g'), '(?i)\\b(incorporated|corporation|company|limited|corp|gmbh|sarl|inc|llc|llp|ltd|plc|pty|spa|srl|ab|ag|as|bv|co|kk|nv|oy|sa)\\b', '', 'g'), '(?i)[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g'), '(?i)^\\s+|\\s+$|^the ', '', 'g'))) AS norm FROM (SELECT c_custkey, 'The ' || c_name || ' & Co., Ltd.' AS x FROM customer)".replace("\\\\", "\\"))
 def q_normalize_name(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", text.normalize_company_name(F.concat(F.lit("The "), "c_name", F.lit(" & Co., Ltd."))).alias("norm"))

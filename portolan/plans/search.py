@@ -85,6 +85,6 @@ def build_index(docs: DataFrame, key: str, text: str, path: str | None = None, e
     return SearchIndex(rows, spark.read.parquet(f"{path}/postings"), key, text, embedder)
 
 
-def search_risk_factors(index: SearchIndex, ticker: str, query: str = "tariff exposure", k: int = 3) -> DataFrame:
+def search_risk_factors(index: SearchIndex, ticker: str, question: str = "tariff exposure", limit: int = 3) -> DataFrame:
     """What one company's filings say."""
-    return index.search(query, k, ["chunk_text", "ticker", "filing_year"], {"ticker": ticker})
+    return index.search(question, limit, ["chunk_text", "ticker", "filing_year"], {"ticker": ticker})

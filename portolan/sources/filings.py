@@ -28,7 +28,7 @@ _FINANCIALS = _item("8", "financial", "statements")
 #: Per form and section: where it begins, and headings that end it.
 SECTIONS: dict[str, dict[str, tuple[re.Pattern[str], list[re.Pattern[str]]]]] = {
     "10-K": {
-        "item_1a": (_item("1a", "risk", "factors"), [_item("1b", "unresolved"), _heading("unresolved", "staff", "comments"), re.compile(r"^\s*item\s*2\b", re.I | re.M), _item("2", "properties"), _MDA]),
+        "item_1a": (_item("1a", "risk", "factors"), [_item("1b", "unresolved"), _heading("unresolved", "staff", "comments"), _heading("^", "item", r"2\b", flags=re.I | re.M), _item("2", "properties"), _MDA]),
         "item_7": (_MDA, [_item("7a", "quantitative"), _FINANCIALS]),
     },
     "20-F": {
@@ -74,7 +74,7 @@ def guard_runaway(text: str) -> str:
 
 def merge_tickers(groups: dict[str, list[str | dict[str, Any]]]) -> dict[str, dict[str, str | None]]:
     """{ticker: {cik, filing_type}}; an entry with a CIK beats a plain one, whichever comes first."""
-    plain = {e: {"cik": None, "filing_type": "10-K"} for g in groups.values() for e in g if isinstance(e, str)}
+    plain = {e: dict(cik=None, filing_type="10-K") for g in groups.values() for e in g if isinstance(e, str)}
     given = {e["ticker"]: {"cik": str(e["cik"]), "filing_type": e.get("filing_type", "10-K")} for g in groups.values() for e in g if not isinstance(e, str)}
     return plain | given
 
@@ -106,10 +106,10 @@ def parse_filings(submissions: DataFrame, ticker: str = "ticker", form: str = "f
                 rows.append((guard_runaway(got["item_1a"]), got["item_7"]))
             yield pd.DataFrame(rows, columns=["item_1a", "item_7"])
 
-    header = F.regexp_extract("submission", r"CENTRAL INDEX KEY:\s*(\d+)", 1)
+    header = F.regexp_extract("submission", r"CENTRAL\s+INDEX\s+KEY:\s*([0-9]+)", 1)
     folder = F.regexp_extract("path", r"(\d{10})-\d{2}-\d{6}", 1)
     cik = F.coalesce(F.nullif(header, F.lit("")), F.nullif(folder, F.lit(""))).cast("long").cast("string")
-    filed = F.try_to_date(F.nullif(F.regexp_extract("submission", r"FILED AS OF DATE:\s*(\d{8})", 1), F.lit("")), "yyyyMMdd")
+    filed = F.try_to_date(F.nullif(F.regexp_extract("submission", r"FILED\s+AS\s+OF\s+DATE:\s*([0-9]{8})", 1), F.lit("")), "yyyyMMdd")
     plain = strip_html(main_document(F.col("submission"), F.col(form)))
     out = submissions.select(cik.alias("cik"), F.col(ticker).alias("ticker"), filed.alias("filing_date"), F.col("path").alias("filing_url"), F.coalesce(F.col(form), F.lit("10-K")).alias("filing_type"), plain.alias("plain"))
     out = out.withColumn("s", sections("plain", "filing_type"))

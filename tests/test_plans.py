@@ -172,7 +172,7 @@ def test_scenarios(world):
     f, key = world["fact_shipments"], nike(world)
     base = {(r["hs_chapter"], r["origin_country"]): r for r in scenario.simulate_tariff_scenario(f, key, {}).collect()}
     assert {r["delta_usd"] for r in base.values()} == {0.0} and set(base) == {("87", "DE"), ("87", "CN")}
-    up = {r["origin_country"]: r for r in scenario.simulate_tariff_scenario(f, key, {"additional_rate_pp": 25, "hs_chapters": ["87"], "origin_countries": ["CN"]}).collect()}
+    up = {r["origin_country"]: r for r in scenario.simulate_tariff_scenario(f, key, dict(origin_countries=["CN"], hs_chapters=["87"], additional_rate_pp=25)).collect()}
     assert up["DE"]["delta_usd"] == 0.0 and up["CN"]["delta_usd"] == pytest.approx(50.0) and up["CN"]["scenario_duty_rate_pct"] == pytest.approx(51.25)
     assert up["CN"]["delta_pct"] == pytest.approx(50.0 / up["CN"]["baseline_landed_cost_usd"] * 100)
     none = scenario.simulate_tariff_scenario(f, "no such key", {"additional_rate_pp": 5})
@@ -247,10 +247,10 @@ def test_search(spark, world, tmp_path):
 
 
 QUESTIONS = [
-    ("Which are the top 5 consignees by total landed cost?", [agent.QUERY]), ("What does Caterpillar disclose about tariff exposure in their 10-K?", [agent.RETRIEVE]), ("Which of Nike's suppliers are Vietnamese?", [agent.QUERY]),
-    ("If Section 232 tariffs doubled, what would Caterpillar's exposure be?", [agent.QUERY, agent.SIMULATE]), ("Which companies mention Section 301 risks in their 10-Ks?", [agent.RETRIEVE]), ("What's my total tariff exposure across all steel imports from Germany?", [agent.QUERY]),
-    ("For Caterpillar, what happens if Chinese electronics tariffs rise 25 pp?", [agent.QUERY, agent.SIMULATE]), ("How diversified is Nike's supplier base for apparel?", [agent.QUERY]),
-    ("What does Caterpillar disclose about supply chain risks and how does that compare to their current supplier concentration?", [agent.QUERY, agent.RETRIEVE]), ("Show me consignees single-sourced for HS chapter 87 and what their 10-Ks say about supplier concentration.", [agent.QUERY, agent.RETRIEVE]),
+    ("Name the top 5 consignees by landed cost.", [agent.QUERY]), ("What does Caterpillar's 10-K disclose about its exposure to tariffs?", [agent.RETRIEVE]), ("Which of Nike's suppliers are Vietnamese?", [agent.QUERY]),
+    ("What would Caterpillar be exposed to if the Section 232 tariffs doubled?", [agent.QUERY, agent.SIMULATE]), ("Which companies' 10-Ks mention risks from Section 301?", [agent.RETRIEVE]), ("How large is the tariff exposure of steel imports from Germany in total?", [agent.QUERY]),
+    ("What happens to Caterpillar if tariffs on Chinese electronics rise by 25 pp?", [agent.QUERY, agent.SIMULATE]), ("For apparel, how diversified are Nike's suppliers?", [agent.QUERY]),
+    ("How do the supply chain risks that Caterpillar discloses compare to its supplier concentration today?", [agent.QUERY, agent.RETRIEVE]), ("Which consignees are single-sourced in chapter 87, and what do their 10-Ks say about supplier concentration?", [agent.QUERY, agent.RETRIEVE]),
 ]
 
 
@@ -263,7 +263,7 @@ def test_agent_runs_and_is_traced(spark, world, tmp_path):
     ix = search.build_index(world["fact_10k_risk_chunks"], "chunk_id", "chunk_text")
     a = agent.Agent(world, ix)
     path = str(tmp_path / "traces")
-    for q, tools in (("Which are the top 5 consignees by total landed cost?", 1), ("What happens to Nike if Chinese auto tariffs rise 25 pp?", 2), ("What does Nike disclose about tariffs in their 10-K?", 1), ("Show me consignees single-sourced for HS chapter 87", 1)):
+    for q, tools in (("Name the top 5 consignees by landed cost.", 1), ("What happens to Nike if Chinese auto tariffs rise 25 pp?", 2), ("What does Nike disclose about tariffs in their 10-K?", 1), ("Show me consignees single-sourced for HS chapter 87", 1)):
         r = a.run(q)
         assert len(r["tool_calls"]) == tools and r["final_answer"] != "(no answer text returned)"
         agent.log_trace(spark, path, q, r | {"input_tokens": 600_000, "output_tokens": 400_000}, r["latency_ms"])
@@ -277,7 +277,7 @@ def test_agent_runs_and_is_traced(spark, world, tmp_path):
 
 
 def test_response_parse():
-    data = {"content": [{"type": "text", "text": "a "}, {"type": "tool_use", "tool_use": {"name": "query_shipments", "input": {"x": 1}}}, {"type": "tool_use", "tool_use": {"name": "system_execute_sql"}}, {"type": "text", "text": "b"}], "metadata": {"usage": {"tokens_consumed": [{"input_tokens": {"total": 5}, "output_tokens": {"total": None}, "model_name": "m"}, {"input_tokens": {"total": 2}}]}}}
+    data = {"content": [dict(text="a ", type="text"), {"type": "tool_use", "tool_use": {"name": "query_shipments", "input": {"x": 1}}}, {"type": "tool_use", "tool_use": {"name": "system_execute_sql"}}, {"type": "text", "text": "b"}], "metadata": {"usage": {"tokens_consumed": [{"input_tokens": {"total": 5}, "output_tokens": {"total": None}, "model_name": "m"}, {"input_tokens": {"total": 2}}]}}}
     r = agent.parse_response(data)
     assert r == {"final_answer": "a b", "tool_calls": [{"tool_name": "query_shipments", "arguments": {"x": 1}}], "input_tokens": 7, "output_tokens": 0, "model_name": "m"}
     assert agent.parse_response({})["final_answer"] == "(no answer text returned)"
