@@ -8,6 +8,7 @@ kept with its cell's calibrated probability.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 from portolan.session import discard, materialize, private_name
 
 NONE = "(none)"
-#: Topics by the first rule that matches the text; the rest is general.
+#: Topics by the first rule that holds for the text in lower case; the rest is general. A rule holds if the text has one
+#: of the literals, or has the sign and matches the pattern after it. Literals are found far faster than patterns.
 TOPICS = (
-    ("legal", r"(?i)licen[sc]ed? |copyright|all rights reserved"),
-    ("tabular", r" \| .* \| "),
-    ("technical", r"(?i)token = |<SECRET>|<IP>|https?://|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    ("contact", r"[a-z0-9]@[a-z0-9]|<EMAIL>|<PHONE>|\) 555-"),
+    ("legal", ("license ", "licence ", "licensed ", "licenced ", "copyright", "all rights reserved"), None, None),
+    ("tabular", (), " | ", r" \| .* \| "),
+    ("technical", ("token = ", "<secret>", "<ip>", "http://", "https://"), ".", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
+    ("contact", ("<email>", "<phone>", ") 555-"), "@", r"[a-z0-9]@[a-z0-9]"),
 )
 
 
@@ -41,8 +43,9 @@ class MixParams:
 
 def topic(text: Column) -> Column:
     out = F.lit("general")
-    for name, rule in reversed(TOPICS):
-        out = F.when(text.rlike(rule), F.lit(name)).otherwise(out)
+    for name, literals, sign, pattern in reversed(TOPICS):
+        tests = [text.contains(x) for x in literals] + ([text.contains(sign) & text.rlike(pattern)] if pattern else [])
+        out = F.when(reduce(lambda a, b: a | b, tests), F.lit(name)).otherwise(out)
     return out
 
 
@@ -139,7 +142,12 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "t
     staged = docs
     for d in p.dims:
         key[d] = private_name(staged, f"__mix_{d}")
-        value = F.col(f"`{d}`").cast("string") if d in names else topic(F.col(f"`{text}`"))
+        if d == "topic" and d not in names:
+            low = private_name(staged, "__mix_low")
+            staged = staged.withColumn(low, F.explode(F.array(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))))))  # once, not once for each literal
+            value = topic(F.col(low))
+        else:
+            value = F.col(f"`{d}`").cast("string")
         staged = staged.withColumn(key[d], F.coalesce(value, F.lit(NONE)))
     counted = staged.select(*[F.col(key[d]).alias(d) for d in p.dims], tokens(F.col(f"`{text}`")).alias("tokens"))
     cells = materialize(counted.groupBy(*p.dims).agg(F.sum("tokens").alias("tokens")), "mix-cells")
@@ -171,7 +179,8 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "t
 
 def mix_sources_sql(p: MixParams = MixParams()) -> str:
     """The same for DuckDB over documents, with tempered targets and the rounds written out."""
-    rules = " ".join(f"WHEN regexp_matches(text, '{rule}') THEN '{name}'" for name, rule in TOPICS)
+    holds = lambda lits, pattern: " OR ".join([f"contains(lower(text), '{x}')" for x in lits] + ([f"regexp_matches(lower(text), '{pattern}')"] if pattern else []))
+    rules = " ".join(f"WHEN {holds(lits, pattern)} THEN '{name}'" for name, lits, _, pattern in TOPICS)
     ctes = [
         f"""staged AS (SELECT *, coalesce(source, '{NONE}') AS k_source, coalesce(lang, '{NONE}') AS k_lang, CASE {rules} ELSE 'general' END AS k_topic,
         CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens FROM documents)""",
