@@ -38,14 +38,17 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""), F.lit(""))
 
 
-def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Distinct (src, dst) hosts: a page of src links to dst, or one is the other's www, mobile or blog variant (both ways)."""
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Distinct (src, dst) of different hosts where a page of src links to dst."""
     p = pages.select(host_of(F.col(f"`{url}`")).alias("src"), F.col(f"`{html}`").alias("h")).filter("src is not null")
     links = p.select("src", F.explode(F.array_distinct(F.regexp_extract_all("h", F.lit(LINK), F.lit(1)))).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
-    seen = links.filter("dst is not null and src != dst").distinct()
-    hosts = p.select("src").distinct().unionAll(seen.select("dst")).distinct()
-    bare = hosts.select("src", F.regexp_replace("src", VARIANT, "").alias("dst")).filter(F.col("src") != F.col("dst"))
-    return seen.unionAll(bare).unionAll(bare.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return links.filter("dst is not null and src != dst").distinct()
+
+
+def host_edges(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Distinct (src, dst): the links, and between a host and its name without www, mobile or blog, both ways."""
+    bare = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", VARIANT, "").alias("dst")).filter(F.col("src") != F.col("dst"))
+    return links.unionAll(bare).unionAll(bare.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def host_scores(edges: DataFrame, seeds: DataFrame, p: LinkParams) -> DataFrame:
@@ -85,8 +88,9 @@ def filter_urls(pages: DataFrame, params: LinkParams = LinkParams(), url: str =
     replaced, others passed on; an empty table gives an empty table.
     """
     p = params
-    edges = materialize(host_edges(pages, url, html), "host-edges")
+    links = materialize(page_links(pages, url, html), "host-links")  # the one look at the pages themselves
     own = materialize(pages.select(host_of(F.col(f"`{url}`")).alias("host")).filter("host is not null").distinct(), "page-hosts")
+    edges = materialize(host_edges(links, own.unionAll(links.select("src")).unionAll(links.select("dst")).distinct()), "host-edges")
     hosts = own.unionAll(edges.select("src")).unionAll(edges.select("dst")).distinct()
     bad = F.col("host").rlike(p.blocked)
     seeds = hosts.select(F.when(bad, 1).when(F.col("host").rlike(p.trusted), 0).alias("kind"), "host").filter("kind is not null")
