@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from portolan.functions import country, hs, money, text, vector
@@ -481,6 +482,70 @@ def q_windowed_counts(spark, sf_dir):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
 
 
+@query("""SELECT l_suppkey, string_agg('  Candidate ' || rank::VARCHAR || '. ' || p_brand || ' (' || n::VARCHAR || ')', chr(10) ORDER BY rank) AS block FROM (SELECT l_suppkey, p_brand, n, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, p_brand) AS rank
+  FROM (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE rank <= 5 GROUP BY l_suppkey""")
+def q_ordered_listagg(spark, sf_dir):
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    n = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n"))
+    best = rel.top_by(n, ["l_suppkey"], [F.desc("n"), F.asc("p_brand")], 5).withColumn("rank", F.row_number().over(W.partitionBy("l_suppkey").orderBy(F.desc("n"), "p_brand")))
+    line = F.concat(F.lit("  Candidate "), "rank", F.lit(". "), "p_brand", F.lit(" ("), "n", F.lit(")"))
+    return best.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))), lambda x: x["s"]), "\n").alias("block"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, round(o_totalprice * 2, 2) FROM orders WHERE o_orderkey % 3 = 0")
+def q_upsert(spark, sf_dir):
+    from portolan.session import new_table_path
+    from portolan.sources.tables import upsert
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = new_table_path(spark, "upsert")
+    upsert(o.filter("o_orderkey % 2 = 0"), path, ["o_orderkey"])
+    return upsert(o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.round(F.col("o_totalprice") * 2, 2)), path, ["o_orderkey"])
+
+
+_FLAGS = ("F", "O", "P")
+
+
+@query(f"SELECT o_orderpriority, {', '.join(f'count(*) FILTER (o_orderstatus = {chr(39)}{s}{chr(39)}) AS {s.lower()}' for s in _FLAGS)} FROM orders GROUP BY ALL")
+def q_contingency(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", list(_FLAGS)).agg(F.count(F.lit(1)))
+    return t.select("o_orderpriority", *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in _FLAGS])
+
+
+@query("SELECT count(*) AS total_queries, round(quantile_cont(value, 0.5), 6) AS p50_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, round(avg(user_id), 6) AS avg_cost_credits_estimate, round(avg(user_id) * 2.0, 6) AS avg_cost_usd_estimate FROM events")
+def q_trace_stats(spark, sf_dir):
+    from portolan.plans import serving
+
+    traces = table(spark, sf_dir, "events").select(F.col("value").alias("total_latency_ms"), F.col("user_id").alias("cost_credits_estimate"))
+    s = serving.agent_trace_stats(traces)
+    return s.select("total_queries", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
+_CALLS = [('[{"tool_name": "a", "arguments": {}}, {"tool_name": "b"}]',), ('[{"tool_name": "a"}]',), ("[]",), (None,)]
+
+
+@query("SELECT * FROM (VALUES ('a', 2::BIGINT), ('b', 1)) t(tool_name, n_calls)")
+def q_tool_usage(spark, sf_dir):
+    from portolan.plans import serving
+
+    return serving.tool_usage_breakdown(values(spark, _CALLS, "tool_calls string"))
+
+
+@query(f"""WITH {_SHIP_SQL}, m AS (SELECT chapter, avg(CASE WHEN general > 0 THEN general / 100 END) AS rate FROM ship GROUP BY ALL)
+  SELECT consignee, count(*) AS n, round(sum(value), 2) AS value, round(sum(value * coalesce(rate, 0)), 2) AS exposure FROM ship LEFT JOIN m USING (chapter) GROUP BY ALL""")
+def q_naive_exposure(spark, sf_dir):
+    s = shipments(spark, sf_dir)
+    mean = s.groupBy("chapter").agg(F.avg(F.when(F.col("general") > 0, F.col("general") / 100)).alias("rate"))
+    out = s.join(mean, "chapter", "left").groupBy("consignee").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"), F.round(F.sum(F.col("value") * F.coalesce("rate", F.lit(0.0))), 2).alias("exposure"))
+    return out
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?is).{0,40}licensed.{0,40}'))::BIGINT AS n, md5(array_to_string(regexp_extract_all(text, '(?is).{0,40}licensed.{0,40}'), '|')) AS passages FROM documents WHERE regexp_matches(text, '(?i)licensed')")
+def q_passages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.keyword_snippets(F.col("text"), "licensed", 40).alias("s"))
+    return d.filter(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("passages"))
+
+
 # K: the semantic layer over the driver's tables
 
 

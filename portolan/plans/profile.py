@@ -11,6 +11,7 @@ from portolan.functions.country import port_suffix
 from portolan.functions.hs import SIX, ad_valorem_rate
 from portolan.functions.text import eda_canon, full_match, keyword_count, token_set_ratio
 from portolan.operators.relational import exact_sample, running_share, top_by
+from portolan.sources.tables import load_summary
 
 RISK_WORDS = ("tariff", "supply chain", "china", "import", "duties", "trade war", "sourcing", "single source", "customs", "mexico", "vietnam", "section 301")
 
@@ -139,5 +140,15 @@ def ports_by_country(bol: DataFrame) -> DataFrame:
     return top_values(bol, port_suffix(F.col("foreign_port_of_lading")), 50, "country")
 
 
+def raw_checks(bol: DataFrame, hts: DataFrame, filings: DataFrame) -> dict[str, DataFrame]:
+    """What to look at after a load: rows and dates per table, the largest consignees, rows per chapter, and the filings."""
+    return {
+        "summary": load_summary({"bol_shipments": (bol, "trade_update_date"), "hts_tariff_schedule": (hts, None), "sec_10k_filings": (filings, "filing_date")}),
+        "consignees": top_values(bol.filter(F.col("consignee_name").isNotNull()), F.col("consignee_name"), 10, "consignee_name"),
+        "chapters": hts.groupBy("hs2").agg(F.count("*").alias("n")).orderBy(F.col("hs2").asc_nulls_last()),
+        "filings": filings.select("ticker", "filing_type", "filing_date", "item_1a_length", "item_7_length").orderBy("ticker", "filing_date"),
+    }
+
+
 def in_scope(bol: DataFrame, chapters: Sequence[str], countries: Column) -> DataFrame:
     return bol.agg(F.count("*").alias("n_rows"), F.count_if(F.left("harmonized_number", F.lit(2)).isin(*chapters) & countries).alias("in_scope"))

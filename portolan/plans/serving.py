@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.operators.relational import hhi, pivot_matrix
-from portolan.plans.agent import USD_PER_CREDIT
+from portolan.plans.agent import USD_PER_CREDIT, Agent, log_trace
 from portolan.plans.classify import CHAPTERS
+from portolan.plans.scenario import Scenario, simulate_tariff_scenario
 
 CHAPTER_NAMES = {"39": "Plastics", "61": "Apparel, knit", "62": "Apparel, woven", "73": "Iron and steel articles", "84": "Machinery", "87": "Vehicles"}
 
@@ -108,6 +109,22 @@ def scenario_totals(rows: DataFrame) -> DataFrame:
     return t.withColumn("delta_pct", F.coalesce(F.col("delta") / F.nullif(F.col("baseline"), F.lit(0.0)) * 100.0, F.lit(0.0)))
 
 
+def run_scenario_simulation(fact: DataFrame, consignee_key: str, additional_rate_pp: float, hs_chapters: list[str], origin_countries: list[str], scenario_name: str = "custom") -> DataFrame:
+    """A scenario as a form gives it; empty lists mean all."""
+    return simulate_tariff_scenario(fact, consignee_key, Scenario(scenario_name, additional_rate_pp, tuple(hs_chapters), tuple(origin_countries)))
+
+
+def run_agent_query(agent: Agent, question: str, traces: str | None = None) -> dict:
+    """The agent's answer, its calls and token counts; with ``traces``, logged there. A failing log doesn't fail the answer."""
+    response = agent.run(question)
+    if traces:
+        try:
+            log_trace(agent.tables["fact_shipments"].sparkSession, traces, question, response, response["latency_ms"])
+        except Exception as e:  # logging is best effort
+            response["log_error"] = str(e)[:200]
+    return response
+
+
 def hhi_band(value: Column) -> Column:
     """low below .15, moderate below .25, high from there."""
     return F.when(value < 0.15, "low").when(value < 0.25, "moderate").when(value.isNotNull(), "high")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -79,6 +80,17 @@ def merge_tickers(groups: dict[str, list[str | dict[str, Any]]]) -> dict[str, di
     return plain | given
 
 
+def load_ticker_config(path: str) -> dict[str, dict[str, str | None]]:
+    """``merge_tickers`` of a YAML file, or of a JSON file where PyYAML isn't installed."""
+    with open(path) as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return merge_tickers(json.loads(text))
+    return merge_tickers(yaml.safe_load(text))
+
+
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """(path, submission): whole files; bytes that are no UTF-8 become replacement characters."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("submission"))

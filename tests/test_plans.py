@@ -272,6 +272,10 @@ def test_agent_runs_and_is_traced(spark, world, tmp_path):
     assert s["total_queries"] == 4 and s["avg_cost_credits_estimate"] == pytest.approx(12.0) and s["avg_cost_usd_estimate"] == pytest.approx(24.0)
     assert serving.tool_usage_breakdown(traces).first()["tool_name"] == agent.QUERY and serving.recent_traces(traces, 2).count() == 2 and serving.latency_distribution(traces).count() == 4
     assert serving.trace_view(traces).filter("tools like '%simulate%'").count() == 1
+    answer = serving.run_agent_query(a, "Name the top 3 consignees by landed cost.", path)
+    assert "log_error" not in answer and spark.read.parquet(path).count() == 5
+    sim = serving.run_scenario_simulation(world["fact_shipments"], nike(world), 10.0, [], ["CN"])
+    assert sim.filter("delta_usd > 0").count() == 1
     empty = serving.agent_trace_stats(traces.limit(0)).first()
     assert tuple(empty) == (0, 0.0, 0.0, 0.0, 0.0)
 
@@ -338,6 +342,14 @@ def test_profile(spark, world):
     assert profile.in_scope(b, classify.CHAPTERS, F.col("foreign_port_of_lading").contains("Germany")).first()["in_scope"] == 10
 
 
+def test_raw_checks_and_config(world, tmp_path):
+    c = profile.raw_checks(world["bol_shipments"], world["hts_tariff_schedule"], world["sec_10k_filings"])
+    assert c["summary"].count() == 3 and c["consignees"].first()["n"] >= 8 and c["chapters"].filter("hs2 = '87'").first()["n"] == 3 and c["filings"].count() == 3
+    p = tmp_path / "t.yml"
+    p.write_text('{"a": ["X", {"ticker": "Y", "cik": 12}]}')
+    assert filings.load_ticker_config(str(p))["Y"] == {"cik": "12", "filing_type": "10-K"}
+
+
 def test_registry():
     r = Registry()
     r.stage("b", "x", ["a"])(lambda a: a)
