@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,14 @@ from portolan.session import materialize, ship_code
 BROADCAST_BYTES = 256 << 20
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.asarray(rows, np.float64)
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """A list array without nulls as a matrix of unit rows; a vector without length stays zero."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = vectors.flatten()
+    if len(vectors) and len(flat) % len(vectors) or len(set(pc.list_value_length(vectors).to_pylist())) > 1 or flat.null_count:
+        raise ValueError("vectors have different lengths or missing entries")
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n > 0, n, 1)
 
@@ -62,32 +69,31 @@ def cosine_top_k(queries: DataFrame, refs: DataFrame, q_vec: str, r_vec: str, r_
     want = k + (1 if exclude_equal else 0)
 
     def run(part: DataFrame) -> DataFrame:
-        pdf = part.orderBy(r_key).toPandas()
-        held = spark.sparkContext.broadcast((_unit(pdf[r_vec].tolist()), pdf.drop(columns=[r_vec])))
+        table = part.orderBy(r_key).toArrow().combine_chunks()  # at most ``limit`` bytes
+        held = spark.sparkContext.broadcast((_unit(table.column(r_vec)), table.drop_columns([r_vec])))
 
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, info = held.value
             fast = x.astype(np.float32)
-            rank = np.arange(len(info))
+            order = np.arange(len(x))
             for big in batches:
-                for lo in range(0, len(big), batch):
-                    b = big.iloc[lo : lo + batch]
-                    at, sims = _best(_unit(b[q_vec].tolist()), x, fast, rank, want)
-                    rows = np.repeat(np.arange(len(b)), at.shape[1])
-                    out = b[names].iloc[rows].reset_index(drop=True)
-                    out[info.columns] = info.iloc[at.ravel()].reset_index(drop=True)
-                    out["sim"] = sims.ravel()
+                for lo in range(0, big.num_rows, batch):
+                    b = big.slice(lo, batch)
+                    at, sims = _best(_unit(b.column(q_vec)), x, fast, order, want)
+                    rows, refs_at, s = np.repeat(np.arange(b.num_rows), at.shape[1]), at.ravel(), sims.ravel()
+                    rank = np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), b.num_rows)
                     if exclude_equal:
-                        out["__row"] = rows
-                        out = out[out[exclude_equal] != out[r_key]]
-                        out = out[out.groupby("__row").cumcount() < k]
-                        out["rank"] = out.groupby("__row").cumcount() + 1
-                        out = out.drop(columns="__row")
-                    else:
-                        out["rank"] = np.tile(np.arange(1, at.shape[1] + 1), len(b))
-                    yield out
-
-        return asked.mapInPandas(match, schema)
+                        other = pc.fill_null(pc.not_equal(b.column(exclude_equal).take(pa.array(rows)), info.column(r_key).take(pa.array(refs_at)).combine_chunks()), True).to_numpy(zero_copy_only=False)
+                        rows, refs_at, s = rows[other], refs_at[other], s[other]
+                        first = np.searchsorted(rows, rows)
+                        rank = (np.arange(len(rows)) - first + 1).astype(np.int32)
+                        few = rank <= k
+                        rows, refs_at, s, rank = rows[few], refs_at[few], s[few], rank[few]
+                    mine, theirs = b.select(names).take(pa.array(rows)), info.take(pa.array(refs_at)).combine_chunks()
+                    columns = [*mine.columns, *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in theirs.columns], pa.array(s), pa.array(rank)]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, *theirs.column_names, "sim", "rank"])
+
+        return asked.mapInArrow(match, schema)
 
     if slices == 1:
         return run(refs)

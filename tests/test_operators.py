@@ -136,11 +136,12 @@ def test_top_k(spark, limit):
     q, x = r.normal(size=(40, 8)), r.normal(size=(90, 8))
     x[5] = x[3]
     q[0] = x[3]
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(99, None)], "q long, a array<double>")
+    queries = spark.createDataFrame([(i, v.tolist(), None if i else 2**60 + 1) for i, v in enumerate(q)] + [(99, None, 1)], "q long, a array<double>, big long")
     refs = spark.createDataFrame([(f"{i:03d}", v.tolist(), f"d{i}") for i, v in enumerate(x)] + [("zzz", None, "none")], "code string, v array<double>, d string")
     got = {}
     for row in cosine_top_k(queries, refs, "a", "v", "code", 5, carry=("d",), limit=limit).collect():
         got.setdefault(row["q"], []).append((row["rank"], row["code"], row["sim"], row["d"]))
+        assert row["big"] == (None if row["q"] else 2**60 + 1)
     un = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     s = un(q) @ un(x).T
     for i in range(40):
