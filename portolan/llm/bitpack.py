@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, params: TokenParams = TokenParams(), text: s
         for pdf in batches:
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
                 ids = np.array([*(encode(t) if t else ()), p.end_id], np.uint32)
-                names.append(None if pd.isna(k) else int(k))
+                names.append(None if k is None else int(k))
                 chunks.append(ids)
                 size += len(ids)
                 if size >= p.shard_ids:
@@ -154,4 +154,4 @@ def pack_documents(docs: DataFrame, params: TokenParams = TokenParams(), text: s
         if chunks:
             yield shard(part, made, names, chunks)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(run, SHARD)
+    return docs.select(F.col(f"`{doc_id}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(run, SHARD)

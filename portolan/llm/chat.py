@@ -598,7 +598,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML, conv_id: str
     Template(template)
     ship_code(turns.sparkSession)
     message = F.struct(F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("unknown")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("content"))
-    grouped = turns.select(F.col(f"`{conv_id}`").cast("long").alias("conv_id"), message.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    grouped = turns.select(F.col(f"`{conv_id}`").cast("string").alias("conv_id"), message.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Template(template)
@@ -612,10 +612,9 @@ def format_conversations(turns: DataFrame, template: str = CHATML, conv_id: str
                 except TemplateError as e:
                     rows.append((k, len(ms), None, [], str(e)))
             out = pd.DataFrame(rows, columns=["conv_id", "n_messages", "text", "generated", "error"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
             yield out
 
-    return grouped.mapInPandas(run, RENDERED)
+    return grouped.mapInPandas(run, RENDERED.replace("conv_id long", "conv_id string")).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def chatml_sql() -> str:

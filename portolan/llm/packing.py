@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from portolan.session import materialize, ship_code
 
 SCHEMA = "window_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, pieces array<string>"
-_STAGED = SCHEMA + ", part long, open boolean"
+#: Within pandas, ids are texts: as numbers, a null among them would make them floats and cut off long ones.
+_STAGED = SCHEMA.replace("doc_ids array<long>", "doc_ids array<string>") + ", part long, open boolean"
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ def _merger(p: PackParams, level: int, last: bool):
         packer, windows = Packer(p.window, len(pdf)), []
         pdf = pdf.sort_values(["n_tokens", "window_id"], ascending=[False, True])
         for n, ids, starts, lengths, pieces in zip(pdf["n_tokens"], pdf["doc_ids"], pdf["starts"], pdf["lengths"], pdf["pieces"]):
-            segments = [(None if pd.isna(k) else int(k), int(s), int(m), t) for k, s, m, t in zip(ids, starts, lengths, pieces)]
+            segments = [(k, int(s), int(m), t) for k, s, m, t in zip(ids, starts, lengths, pieces)]
             windows += [(m, s, False) for m, s in packer.place(int(n), segments)]
         rest = sorted(packer.rest(), key=lambda x: x[0])
         windows += [(m, s, not last and i < p.open_windows) for i, (m, s) in enumerate(rest)]
@@ -119,7 +120,6 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
                 if not t or not t.strip():
                     continue
-                k = None if pd.isna(k) else int(k)
                 for start, n, piece in pieces_of(t, p.window):
                     closed += [(m, s, False) for m, s in packer.place(n, [(k, start, n, piece)])]
                 if len(closed) >= 256:
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
         if left:
             yield _frame(left, part, 0, made)
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t"))
     staged = materialize(rows.mapInPandas(fill, _STAGED), "pack-windows")
     out = staged.filter("not open")
     parts = (staged.agg(F.max("part")).first()[0] or 0) + 1
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
         grouped = staged.filter("open").withColumn("part", F.floor(F.col("part") / p.fan_in).cast("long"))
         staged = grouped.groupBy("part").applyInPandas(_merger(p, level, last), _STAGED)
         if last:
-            return out.unionByName(staged).drop("part", "open")
+            return out.unionByName(staged).drop("part", "open").withColumn("doc_ids", F.col("doc_ids").cast("array<long>"))
         staged = materialize(staged, "pack-leftovers")
         out = out.unionByName(staged.filter("not open"))
         parts = -(-parts // p.fan_in)

@@ -195,14 +195,14 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", uri: str =
                     system.create_dir(at.rpartition("/")[0], recursive=True)
                     temp = f"{at}.{task.taskAttemptId()}.tmp"
                     out = system.open_output_stream(temp, compression=None)
-                out.write(record((t or "").encode("utf-8", "surrogatepass"), u, None if pd.isna(k) else int(k)))
+                out.write(record((t or "").encode("utf-8", "surrogatepass"), u, None if k is None else int(k)))
                 n += 1
         if out is not None:
             out.close()
             system.move(temp, at)
             yield pd.DataFrame({"file": [name], "n_records": [n]})
 
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("k"), F.col(f"`{uri}`").alias("u"), F.col(f"`{html}`").alias("t"))
+    rows = pages.select(F.col(f"`{page_id}`").cast("string").alias("k"), F.col(f"`{uri}`").alias("u"), F.col(f"`{html}`").alias("t"))
     return materialize(rows.mapInPandas(write, "file string, n_records long"), "warc-files")
 
 

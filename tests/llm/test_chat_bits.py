@@ -62,12 +62,12 @@ def test_errors_when_rendered(source):
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", " hi "), (1, 0, "user", "hello"), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "user", "tie b"), (3, 0, "user", "tie a"), (3, 0, "user", "tie a"), (4, None, "user", "first"), (4, 0, "assistant", "z" * 200_000)]
+    rows = [(1, 1, "assistant", " hi "), (1, 0, "user", "hello"), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "user", "tie b"), (3, 0, "user", "tie a"), (3, 0, "user", "tie a"), (4, None, "user", "first"), (2**60 + 1, 0, "user", "big"), (4, 0, "assistant", "z" * 200_000)]
     df = spark.createDataFrame(rows, TURNS).withColumn("m", F.lit(1)).withColumn("messages", F.lit("mine"))
     got = {str(r["conv_id"]): r for r in C.format_conversations(df).collect()}
     assert got["1"]["text"] == "<|im_start|>user\nhello<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n"
     assert [got["1"]["text"][s["start"] : s["end"]] for s in got["1"]["generated"]] == ["hi<|im_end|>"]
-    assert got["2"]["text"] == "<|im_start|>unknown\n<|im_end|>\n" and got["None"]["n_messages"] == 1
+    assert got["2"]["text"] == "<|im_start|>unknown\n<|im_end|>\n" and got["None"]["n_messages"] == 1 and str(2**60 + 1) in got
     assert got["3"]["text"].count("tie a") == 2 and got["3"]["text"].index("tie a") < got["3"]["text"].index("tie b")
     assert got["4"]["text"].startswith("<|im_start|>user\nfirst") and len(got["4"]["text"]) > 200_000
     assert C.format_conversations(df.limit(0)).count() == 0
@@ -111,7 +111,7 @@ def test_bits_and_limits():
 @pytest.mark.parametrize("vocabulary", [50_257, 60_000, 100_000])
 def test_documents_come_back(docs, vocabulary):
     p = B.TokenParams(vocabulary=vocabulary, block_ids=64, shard_ids=700)
-    pairs = [(1, None), (2, ""), (3, "hello world"), (3, "hello world"), (None, "naïve café 😀\n\n  x"), (5, "<|endoftext|>")] + [(10 + i, f"text {i} " * i) for i in range(60)] + [(99, "long text " * 5000)]
+    pairs = [(1, None), (2, ""), (3, "hello world"), (3, "hello world"), (None, "naïve café 😀\n\n  x"), (5, "<|endoftext|>"), (2**60 + 1, "big")] + [(10 + i, f"text {i} " * i) for i in range(60)] + [(99, "long text " * 5000)]
     enc = B.encoder(p.ranks_path)
     back = []
     for r in B.pack_documents(docs(pairs).repartition(3), p).collect():

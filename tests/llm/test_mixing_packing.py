@@ -126,5 +126,7 @@ def test_packing_odd_rows(docs):
     rows, parts = check(docs(pairs), packing.PackParams(window=16))
     assert sorted(map(str, parts)) == ["4", "5", "6", "None"] and parts[4] == [(0, "a b"), (0, "a b")]
     assert " ".join(t for _, t in sorted(parts[6])) == pairs[7][1]
+    big = [(2**60 + 1, "a"), (None, "b"), (2**60 + 3, "c d")]
+    assert sorted(map(str, check(docs(big), packing.PackParams(window=16))[1])) == sorted(["None", str(2**60 + 1), str(2**60 + 3)])
     assert packing.pack(docs([])).count() == 0
     assert packing.pack(docs([(1, None)])).count() == 0

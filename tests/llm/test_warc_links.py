@@ -60,7 +60,7 @@ def test_faults_are_told_apart_and_reading_goes_on():
 
 
 def test_table_round_trip(spark):
-    rows = [(1, "http://a/", "<p>é</p>"), (1, "http://a/", "<p>é</p>"), (2, None, "x"), (None, "http://b/\r\nEvil: 1", "y"), (4, "http://c/", None), (5, "http://d/", "z" * 3_000_000), (6, "", "")]
+    rows = [(1, "http://a/", "<p>é</p>"), (1, "http://a/", "<p>é</p>"), (2, None, "x"), (None, "http://b/\r\nEvil: 1", "y"), (4, "http://c/", None), (5, "http://d/", "z" * 3_000_000), (6, "", ""), (2**60 + 1, "http://e/", "big")]
     df = spark.createDataFrame(rows, PAGES).withColumn("block", F.lit(1)).withColumn("status", F.lit("mine"))
     got = sorted(map(str, map(tuple, warc.round_trip(spark, df).select("page_id", "url", "html", "status").collect())))
     want = sorted(str((k, u, t or "", "ok")) for k, u, t in rows)
