@@ -207,7 +207,14 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", uri: str =
 
 
 def read_warc(files: DataFrame, file: str = "file") -> DataFrame:
-    """The records of the .warc.gz files that column ``file`` names, each read by one task from start to end."""
+    """The records of the .warc.gz files that column ``file`` names, each read by one task from start to end.
+
+    Every record gives a row, whatever its status (see ``records``); a record
+    of any size is one row. A file named twice is read twice, null names are
+    left out, an empty file or table gives no rows, and a file that isn't
+    there is an error. Paths are opened with pyarrow.fs, so they may be
+    file:, hdfs: or s3: URIs.
+    """
     spark = files.sparkSession
     ship_code(spark)
 
@@ -239,7 +246,11 @@ def _records_frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``pages`` written as WARC into the shared folder and read back: page_id, url, html, content_length, digest and status."""
+    """``pages`` written as WARC into the shared folder and read back: page_id, url, html, content_length, digest and status.
+
+    A null html comes back empty; null ids and urls stay null; repeated rows
+    come back as often as they went in.
+    """
     path = new_table_path(spark, "warc")
     back = read_warc(write_warc(pages, path))
     return back.select("page_id", F.col("uri").alias("url"), F.col("block").cast("string").alias("html"), "content_length", "digest", "status")

@@ -28,6 +28,28 @@ def test_stages_in_order_and_same_as_run(spark, sf):
     assert {k for r in packed.collect() for k in r["doc_ids"]} == kept
 
 
+ODD = [(1, None), (2, ""), (3, " \n "), (4, "A clean line of text. It goes on."), (4, "A clean line of text. It goes on."), (5, "A clean line of text. It goes on."), (None, "Another one for you to read. Fine."), (6, "Call +1 (017) 555-7713 today. " * 4000), (7, None)]
+
+
+def test_every_stage_takes_odd_rows_and_none(spark, sf, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (ODD, [], [(1, None)]):
+            df = docs(rows).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") != 4, F.col("source")))
+            df = df.withColumn("n_chars", F.when(F.col("doc_id") != 5, F.col("n_chars")))
+            out = stage(spark, df, sf)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == df.columns
+            if not rows:
+                assert not got
+            elif name in ("near-duplicates", "personal data"):
+                assert {1} <= {r["doc_id"] for r in got}
+            if name == "near-duplicates" and rows is ODD:
+                assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "3", "4", "6", "7", "None"]
+            if name == "quality rules" and rows is ODD:
+                assert sorted(str(r["doc_id"]) for r in got) == ["4", "4", "5", "6", "None"]
+
+
 def test_queries_and_sql_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) < set(names)
