@@ -11,7 +11,7 @@ from portolan.functions.country import extract_country_from_text, port_origin_co
 from portolan.functions.text import is_freight_forwarder, is_placeholder_name, normalize_company_name
 from portolan.functions.vector import cosine, embed
 from portolan.operators.components import connected_components
-from portolan.operators.relational import blocking_pairs, mode_by, top_by
+from portolan.operators.relational import blocking_pairs, top_by
 from portolan.session import ship_code
 
 

@@ -1,7 +1,11 @@
 import os
 import sys
+import tempfile
 
 import pytest
+from hypothesis.configuration import set_hypothesis_home_dir
+
+set_hypothesis_home_dir(tempfile.mkdtemp(prefix="hypothesis-"))
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
