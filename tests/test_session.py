@@ -31,3 +31,13 @@ def test_private_names(spark):
 def test_empty_tables_can_be_materialized(spark):
     df = S.materialize(spark.range(0).withColumn("a", F.array(F.lit("x"))), "t")
     assert df.count() == 0 and df.dtypes == [("id", "bigint"), ("a", "array<string>")]
+
+
+def test_arrow_batches_are_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with S.arrow_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+        sizes = spark.range(0, 20, 1, 1).mapInPandas(lambda it: (b.head(1).assign(id=len(b)) for b in it), "id long").collect()
+        assert [r["id"] for r in sizes] == [7, 7, 6]
+    assert spark.conf.get(key) == before
