@@ -41,15 +41,16 @@ def _power_tables(n: int) -> list[np.ndarray]:
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of rows) of lower-cased consecutive rows, at most about a megabyte each. A null is an empty text."""
     low = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    for chunk_start, arr in [(0, low)]:
-        _, off, data = arr.buffers()
-        off = np.frombuffer(off, np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        i = 0
-        while i < len(arr):
-            j = min(max(int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1, i + 1), i + SLICE_DOCS - 1, len(arr))
-            yield chunk_start + i, data[off[i] : off[j]], off[i : j + 1] - off[i]
-            i = j
+    if not len(low):
+        return
+    _, off, data = low.buffers()
+    off = np.frombuffer(off, np.int64)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(low):
+        j = min(max(int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1, i + 1), i + SLICE_DOCS - 1, len(low))
+        yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
+        i = j
 
 
 def shingle_keys(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
