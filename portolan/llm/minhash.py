@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portolan.llm.shingles import U, mix, shingle_keys, slices
 from portolan.operators.components import connected_components
-from portolan.session import materialize, private_name, ship_code
+from portolan.session import arrow_batches, materialize, private_name, ship_code
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,7 @@ class MinHashParams:
     idf_bits: int = 20  # document frequencies are kept for 2^idf_bits hashed features: 4 MB of weights whatever the corpus
     smoothing: float = 0.05  # idf = ln(1 + 1/(df/N + smoothing)): what fewer than about 5 % of documents have counts as rare, so that the size of a group of copies hardly lowers their similarity
     table_bits: int = 12
+    batch_rows: int = 1000  # documents or pairs that a Python worker holds at once
     seed: int = 7
 
 
@@ -198,12 +199,11 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     spark = docs.sparkSession
     ship_code(spark)
     rows = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    df, n = document_frequencies(rows.select("t"), p)
-    idf = spark.sparkContext.broadcast(idf_table(df, n, p))
-    signed = materialize(_signatures(rows, idf, p), "minhash-signatures")
+    with arrow_batches(spark, p.batch_rows):
+        df, n = document_frequencies(rows.select("t"), p)
+        idf = spark.sparkContext.broadcast(idf_table(df, n, p))
+        signed = materialize(_signatures(rows, idf, p), "minhash-signatures")
     contents = signed.filter(F.size("bands") > 0).groupBy("h").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
-    from pyspark.sql import Window
-
     bucket = Window.partitionBy("bucket")
     spread = contents.select("h", "k", F.explode("bands").alias("bucket"))
     members = materialize(
@@ -214,7 +214,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
         rows.join(wanted.hint("shuffle_hash"), (rows.h == wanted.h) & rows.k.eqNullSafe(wanted.k), "left_semi").select("h", "t").dropDuplicates(["h"]), "minhash-texts"
     )
     star = members.filter("h != first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    near = materialize(_verified(star, texts, idf, p), "minhash-pairs")
+    with arrow_batches(spark, p.batch_rows):
+        near = materialize(_verified(star, texts, idf, p), "minhash-pairs")
     joined = materialize(connected_components(near, "a", "b"), "minhash-joined")
     group_of = joined.select(F.col("node").alias("h"), F.col("component").alias("g"))
     first_of = joined.select(F.col("node").alias("first"), F.col("component").alias("fg"))
@@ -223,7 +224,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     apart = placed.filter("g != fg").select("bucket", F.col("h").alias("x"), F.col("g").alias("gx"), "first")
     rest = apart.join(placed.select("bucket", F.col("h").alias("y"), F.col("g").alias("gy")), "bucket").filter("gx != gy and y != first")
     more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = materialize(_verified(more, texts, idf, p), "minhash-late-pairs")
+    with arrow_batches(spark, p.batch_rows):
+        late = materialize(_verified(more, texts, idf, p), "minhash-late-pairs")
     groups = connected_components(near.select("a", "b").unionByName(late.select("a", "b")), "a", "b")
     return signed, groups.select(F.col("node").alias("h"), F.col("component").alias("g"))
 
