@@ -54,12 +54,12 @@ def arrow_batches(spark: SparkSession, rows: int):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, or its rows dealt out anew if it comes in fewer pieces than half the cores: a small table in one file would keep one core busy.
+    """``df``, or its rows dealt out anew if it comes in fewer pieces than there are cores: a small table in one file would keep one core busy.
 
     Tables of many files are left as they are; no job runs to find out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
