@@ -7,6 +7,9 @@ kept with its cell's calibrated probability.
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -37,6 +40,8 @@ class MixParams:
     temper: float = 0.7
     fraction: float = 0.8
     rounds: int = 12
+    bounded: bool = False  # the sample itself meets the targets; else only with mix_weight
+    bounded_rounds: int = 300
     driver_cells: int = 1_000_000
     broadcast_cells: int = 100_000
 
@@ -93,9 +98,68 @@ def rake(cells: pd.DataFrame, shares: dict[str, pd.Series], rounds: int) -> np.n
     return w
 
 
+def widest(trial: Callable[[float], tuple[object, float]], most: float, tries: int) -> object:
+    """The weights of the trial that keeps the most. ``trial`` takes tokens to aim at and gives weights and the tokens that they keep."""
+    best, kept = trial(most)
+    high = most
+    for _ in range(tries):
+        if kept >= 0.99 * high:
+            break
+        aim = math.sqrt(kept * high)
+        w, got = trial(aim)
+        if got < 0.99 * aim:
+            high = aim
+        if got > kept:
+            best, kept = w, got
+    return best
+
+
+def warn_of_gap(gap: float) -> None:
+    if gap > 1e-3:
+        warnings.warn(f"no sample of these documents was found that meets all targets; a share is off by {gap:.4f}", stacklevel=3)
+
+
+def marginal_gap(cells: pd.DataFrame, w: np.ndarray, shares: dict[str, pd.Series]) -> float:
+    """The largest difference between a share of ``w`` and its target."""
+    return max(float((pd.Series(w).groupby(cells[d].to_numpy()).sum() / w.sum() - share).abs().max()) for d, share in shares.items())
+
+
+def rake_bounded(cells: pd.DataFrame, shares: dict[str, pd.Series], p: MixParams, tries: int = 12) -> np.ndarray:
+    """Cell weights, none above the cell's tokens, that meet the marginals with as much of ``fraction`` of the tokens as is found possible.
+
+    Rounds that cut weights at the cell's tokens move the excess to other
+    cells; rounds without the cut then settle the marginals, and what is still
+    above a cell's tokens is settled by lowering all weights alike.
+    """
+    t = cells["tokens"].to_numpy(np.float64)
+    codes = {d: pd.factorize(cells[d]) for d in shares}
+    want = {d: shares[d].reindex(codes[d][1]).to_numpy() for d in shares}
+
+    def trial(total: float) -> tuple[np.ndarray, float]:
+        w = t * (total / t.sum())
+        for cut in (True, False):
+            for _ in range(p.bounded_rounds):
+                before = w
+                for d in shares:
+                    code, values = codes[d]
+                    now = np.bincount(code, w, len(values))
+                    w = w * np.divide(want[d] * total, now, out=np.zeros_like(now), where=now > 0)[code]
+                if cut:
+                    w = np.minimum(w, t)
+                if np.abs(w - before).max() <= 1e-10 * total:
+                    break
+        w = w / max(1.0, float((w / t).max()))
+        return w, float(w.sum())
+
+    room = [np.bincount(codes[d][0], t)[want[d] > 0] / want[d][want[d] > 0] for d in shares]
+    w = widest(trial, min(p.fraction * float(t.sum()), *(float(x.min()) for x in room)), tries)
+    warn_of_gap(marginal_gap(cells, w, shares))
+    return w
+
+
 def rake_frames(cells: DataFrame, p: MixParams) -> DataFrame:
-    """``rake`` without the driver, for more cells than it should hold; each round is written to the shared folder."""
-    total = cells.agg(F.sum("tokens")).first()[0]
+    """``rake`` or ``rake_bounded`` without the driver, for more cells than it should hold; each round is written to the shared folder."""
+    total = float(cells.agg(F.sum("tokens")).first()[0])
     want = {}
     for d in p.dims:
         mass = cells.groupBy(d).agg(F.sum("tokens").alias("m"))
@@ -103,21 +167,46 @@ def rake_frames(cells: DataFrame, p: MixParams) -> DataFrame:
             known = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in p.targets[d].items()], f"`{d}` string, x double")
             mass = mass.join(known, d, "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
         else:
-            mass = mass.withColumn("x", F.pow(F.col("m") / F.lit(float(total)), F.lit(p.temper)))
+            mass = mass.withColumn("x", F.pow(F.col("m") / F.lit(total), F.lit(p.temper)))
         whole = mass.agg(F.sum("x")).first()[0]
         if not whole:
             raise ValueError(f"no target of {d} names a value that occurs")
-        want[d] = mass.select(d, (F.col("x") / F.lit(whole) * F.lit(float(total))).alias("want"))
-    held = cells.withColumn("w", F.col("tokens").cast("double"))
-    before = None
-    for _ in range(p.rounds):
-        for d in p.dims:
-            scale = held.groupBy(d).agg(F.sum("w").alias("now")).join(want[d], d).select(d, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0).alias("by"))
-            held = held.join(scale, d).withColumn("w", F.col("w") * F.col("by")).drop("by")
-        held = materialize(held, "rake-round")
-        if before is not None:
-            discard(before)
-        before = held
+        want[d] = mass.select(d, "m", (F.col("x") / F.lit(whole) * F.lit(total)).alias("want"))
+
+    def rounds(held: DataFrame, n: int, aim: float, cut: bool = False, close: float | None = None) -> DataFrame:
+        before = None
+        for _ in range(n):
+            held = held.withColumn("w0", F.col("w"))
+            for d in p.dims:
+                scale = held.groupBy(d).agg(F.sum("w").alias("now")).join(want[d], d).select(d, F.when(F.col("now") > 0, F.col("want") * F.lit(aim / total) / F.col("now")).otherwise(0.0).alias("by"))
+                held = held.join(scale, d).withColumn("w", F.col("w") * F.col("by")).drop("by")
+            if cut:
+                held = held.withColumn("w", F.least("w", F.col("tokens").cast("double")))
+            held = materialize(held, "rake-round")
+            if before is not None:
+                discard(before)
+            before = held
+            moved = held.agg(F.max(F.abs(F.col("w") - F.col("w0")))).first()[0] if close is not None else None
+            held = held.drop("w0")
+            if moved is not None and moved <= close * aim:
+                break
+        return held
+
+    start = cells.withColumn("w", F.col("tokens").cast("double"))
+    if not p.bounded:
+        return rounds(start, p.rounds, total)
+
+    def trial(aim: float) -> tuple[DataFrame, float]:
+        held = rounds(start.withColumn("w", F.col("w") * F.lit(aim / total)), p.rounds, aim, cut=True)
+        held = rounds(held, p.bounded_rounds, aim, close=1e-6)
+        most, kept = held.agg(F.max(F.col("w") / F.col("tokens")), F.sum("w")).first()
+        return held.withColumn("w", F.col("w") / F.lit(max(1.0, most))), kept / max(1.0, most)
+
+    room = min(want[d].filter("want > 0").agg(F.min(F.col("m") / F.col("want"))).first()[0] for d in p.dims)
+    held = widest(trial, min(p.fraction, room) * total, 3)
+    kept = held.agg(F.sum("w")).first()[0]
+    gap = max(held.groupBy(d).agg(F.sum("w").alias("now")).join(want[d], d).agg(F.max(F.abs(F.col("now") / F.lit(kept) - F.col("want") / F.lit(total)))).first()[0] for d in p.dims)
+    warn_of_gap(gap)
     return held
 
 
@@ -126,7 +215,10 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "t
 
     A cell's probability is ``fraction`` times its raked weight over its
     tokens, at most 1; mix_weight is what that limit left over, so that tokens
-    times mix_weight meet the marginals.
+    times mix_weight meet the marginals. With ``bounded`` no probability has
+    to be limited: the sample itself is expected to meet the marginals,
+    ``fraction`` is lowered as far as that takes, and mix_weight is 1. If no
+    sample can meet them all, a warning says by how much it misses.
 
     Whether a document stays depends on its id alone, so repeated rows stay or
     go together; without an id, on its text. A null source or language is a
@@ -156,12 +248,13 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "t
         pdf = cells.toPandas().sort_values(list(p.dims), ignore_index=True)
         full = pdf[pdf["tokens"] > 0].reset_index(drop=True)
         if len(full):
-            full["w"] = rake(full, target_shares(full, p), p.rounds)
+            shares = target_shares(full, p)
+            full["w"] = rake_bounded(full, shares, p) / p.fraction if p.bounded else rake(full, shares, p.rounds)
         ratio = {} if not len(full) else dict(zip(full[list(p.dims)].itertuples(index=False, name=None), (full["w"] / full["tokens"]).tolist()))
         rows = [(*c, float(ratio.get(c, 1.0 / p.fraction))) for c in pdf[list(p.dims)].itertuples(index=False, name=None)]
         factors = docs.sparkSession.createDataFrame(rows, ", ".join(f"`{key[d]}` string" for d in p.dims) + ", __mix_factor double")
     else:
-        raked = rake_frames(cells.filter("tokens > 0"), p).select(*p.dims, (F.col("w") / F.col("tokens")).alias("__mix_factor"))
+        raked = rake_frames(cells.filter("tokens > 0"), p).select(*p.dims, (F.col("w") / F.lit(p.fraction if p.bounded else 1.0) / F.col("tokens")).alias("__mix_factor"))
         blank = cells.filter("tokens = 0").select(*p.dims, F.lit(1.0 / p.fraction).alias("__mix_factor"))
         factors = raked.unionByName(blank).select(*[F.col(d).alias(key[d]) for d in p.dims], "__mix_factor")
     if n <= p.broadcast_cells:

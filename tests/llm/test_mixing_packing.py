@@ -63,6 +63,47 @@ def test_mixing_same_as_sql(spark, sf):
     np.testing.assert_allclose(mine["mix_weight"], theirs["mix_weight"], atol=1e-6)
 
 
+def topics(spark, n=20_000):
+    text = F.when(F.col("id") % 40 == 0, "one two three <email> five six").otherwise(F.lit(TEXT))
+    return spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 7 < 2, "es").otherwise("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 3).alias("source"))
+
+
+@pytest.mark.parametrize("limits", [{}, {"driver_cells": 0, "broadcast_cells": 0}])
+def test_bounded_sample_itself_meets_the_targets(spark, limits):
+    df = topics(spark)
+    whole = df.groupBy("source", "lang", mixing.topic(F.lower("text")).alias("topic")).agg((F.count("*") * 6).alias("tokens")).toPandas()
+    p = mixing.MixParams(bounded=True, **limits)
+    shares = mixing.target_shares(whole, p)
+    out = mixing.mix_sources(df, p, weights=True).toPandas()
+    assert out["mix_weight"].tolist() == pytest.approx([1.0] * len(out)) and out["keep_probability"].max() <= 1
+    cells = whole.merge(out.groupby(["source", "lang", "topic"])["keep_probability"].first().reset_index())
+    assert len(cells) == len(whole)
+    w = (cells["tokens"] * cells["keep_probability"]).to_numpy()
+    assert mixing.marginal_gap(cells, w, shares) < 1e-4
+    room = min((whole.groupby(d)["tokens"].sum() / whole["tokens"].sum() / shares[d]).min() for d in shares)
+    assert w.sum() / whole["tokens"].sum() > 0.95 * min(p.fraction, room)  # no more is dropped than the targets need
+    for d in shares:
+        assert (out[d].value_counts(normalize=True) - shares[d]).abs().max() < 0.02
+
+
+def test_bounded_raking_tells_what_it_can_not_meet():
+    cells = pd.DataFrame({"source": ["a", "b"], "lang": ["en", "fr"], "topic": ["general"] * 2, "tokens": [50, 50]})
+    p = mixing.MixParams(targets={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.2, "fr": 0.8}}, bounded=True)
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake_bounded(cells, mixing.target_shares(cells, p), p)
+
+
+def test_pipeline_sample_meets_the_targets(spark):
+    import corpus_pipeline
+
+    df = topics(spark)
+    p = mixing.MixParams()
+    whole = df.withColumn("topic", mixing.topic(F.lower("text"))).groupBy("source", "lang", "topic").agg((F.count("*") * 6).alias("tokens")).toPandas()
+    kept = corpus_pipeline.mix_sources(spark, df, "").withColumn("topic", mixing.topic(F.lower("text"))).toPandas()
+    for d, share in mixing.target_shares(whole, p).items():
+        assert (kept[d].value_counts(normalize=True) - share).abs().max() < 0.02
+
+
 # Packing
 
 
