@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -334,7 +335,26 @@ def parse(source: str) -> Node:
 
 # Meaning
 
+#: Characters and loop steps that a template may make besides what its input accounts for.
 LONGEST = 50_000_000
+MOST_STEPS = 10_000_000
+#: Characters that the input of the running template accounts for.
+_GIVEN: ContextVar[int] = ContextVar("given", default=0)
+
+
+def _given(x: Any) -> int:
+    """Four times the input's characters, and 1,000 for each entry and message."""
+    if isinstance(x, str):
+        return 4 * len(x)
+    if isinstance(x, dict):
+        return sum(1000 + _given(y) for y in x.values())
+    if isinstance(x, (list, tuple)):
+        return sum(1000 + _given(y) for y in x)
+    return 0
+
+
+def _longest() -> int:
+    return LONGEST + _GIVEN.get()
 
 
 def _text(x: Any) -> str:
@@ -346,13 +366,13 @@ def _text(x: Any) -> str:
 
 
 def _sized(x: Any) -> Any:
-    if isinstance(x, (str, list)) and len(x) > LONGEST:
+    if isinstance(x, (str, list)) and len(x) > _longest():
         raise TemplateError("a value grew too long")
     return x
 
 
 def _times(a: Any, b: Any) -> Any:
-    if isinstance(a, (str, list)) and isinstance(b, int) and len(a) * b > LONGEST:
+    if isinstance(a, (str, list)) and isinstance(b, int) and len(a) * b > _longest():
         raise TemplateError("a value grew too long")
     return a * b
 
@@ -486,7 +506,7 @@ class Out:
     def put(self, s: str) -> None:
         self.parts.append(s)
         self.size += len(s)
-        if self.size > LONGEST:
+        if self.size > _longest():
             raise TemplateError("the output grew too long")
 
 
@@ -539,7 +559,7 @@ def _statement(n: Node) -> Callable[[dict, Out], None]:
                 picked.append(x)
         for i, x in enumerate(picked):
             o.steps += 1
-            if o.steps > 10_000_000:
+            if o.steps > MOST_STEPS + _GIVEN.get() // 1000 * 4:
                 raise TemplateError("too many steps")
             _bind(inner, names, x)
             inner["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(picked), "length": len(picked), "revindex0": len(picked) - 1 - i, "previtem": picked[i - 1] if i else UNDEFINED, "nextitem": picked[i + 1] if i + 1 < len(picked) else UNDEFINED}
@@ -573,12 +593,15 @@ class Template:
 
     def render(self, **context: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Out()
+        token = _GIVEN.set(_given(context))
         try:
             self._run(dict(context), out)
         except TemplateError:
             raise
         except (TypeError, ValueError, IndexError, KeyError, ZeroDivisionError, AttributeError, RecursionError) as e:
             raise TemplateError(f"{type(e).__name__}: {e}") from None
+        finally:
+            _GIVEN.reset(token)
         return "".join(out.parts), out.spans
 
 

@@ -48,7 +48,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_conversations(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("generated", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return out.select("conv_id", "n_messages", "text", spans.alias("generated"))
+    whole = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("conversation not rendered: "), "error"))).otherwise(F.col("text"))  # the SQL has no column for it
+    return out.select("conv_id", "n_messages", whole.alias("text"), spans.alias("generated"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

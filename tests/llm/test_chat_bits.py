@@ -29,6 +29,28 @@ def test_language(source, want):
     assert render(source, a=True, b=False, c=True, xs=["p", "q"], d={"k": "v"}, ps=[[1, 2], [3, 4]]) == want
 
 
+def test_bounds_leave_long_input_whole(monkeypatch):
+    monkeypatch.setattr(C, "LONGEST", 1000)
+    monkeypatch.setattr(C, "MOST_STEPS", 10, raising=False)
+    ms = [{"role": "user", "content": "x" * 5000}] + [{"role": "assistant", "content": ""}] * 500
+    text, spans = C.Template(C.CHATML).render(messages=ms)
+    assert text.count("x" * 5000) == 1 and text.count("<|im_end|>") == 501 and len(spans) == 500
+    for source in ("{{ 'a' * 100000 }}", "{% for i in range(1000) %}{% for j in range(1000) %}{{ m }}{% endfor %}{% endfor %}"):
+        with pytest.raises(C.TemplateError):
+            C.Template(source).render(m="x")
+
+
+def test_lost_conversations_are_not_silent(spark, tmp_path, monkeypatch):
+    from portolan.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "hello")], TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert queries.op8_chat_format(spark, str(tmp_path)).first()["text"] == "<|im_start|>user\nhello<|im_end|>\n"
+    format_ = C.format_conversations
+    monkeypatch.setattr(C, "format_conversations", lambda turns: format_(turns, "{{ raise_exception('no') }}"))
+    with pytest.raises(Exception, match="not rendered"):
+        queries.op8_chat_format(spark, str(tmp_path)).collect()
+
+
 def test_generation_spans():
     t = C.Template("<{% for m in ms %}{% if m.r %}{% generation %}{{ m.t }}{% endgeneration %}{% else %}{{ m.t }}{% endif %}|{% endfor %}>")
     text, spans = t.render(ms=[{"r": 0, "t": "user"}, {"r": 1, "t": "bot"}, {"r": 1, "t": ""}])
