@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from conftest_llm import keep_extra
@@ -44,6 +46,57 @@ def test_windows_don_t_show(weights):
             assert [text[a:b] for a, b, _ in spans] == [v], (v, shift)
 
 
+def naive(text, w, lean):
+    """The labels' scores of one text, written out for each character in doubles, from the weights as trained."""
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    h = w["rec"].shape[1]
+    squash = lambda x: x / np.sqrt(1 + x * x)
+    total = np.zeros((len(text), len(P.KINDS))) + w["bias"]
+    total[:, 1:] += lean
+    for side, order in ((0, range(len(text))), (1, range(len(text) - 1, -1, -1))):
+        hid, c = np.zeros(h), np.zeros(h)
+        for t in order:
+            z = w["tab"][side, min(ord(text[t]), 128)] + hid @ w["rec"][side]
+            i, f, o = ((1 + squash(z[a * h : (a + 1) * h] / 2)) / 2 for a in range(3))
+            c = f * c + i * squash(z[3 * h :])
+            hid = o * squash(c)
+            total[t] += hid @ w["out"][side]
+    return total
+
+
+def test_decoder_against_all_paths(weights):
+    """Scores as written out above; labels as the best of all label paths."""
+    trained = P.train(PARAMS)
+    r = np.random.default_rng(3)
+    texts = ["a@b.cc", "ä1.2.3", "x", "12-345", "the of"] + ["".join(r.choice(list("a1@. -+é\n"), 5)) for _ in range(12)]
+    unsure = {k: v * np.float32(0.05) if k in ("trans", "first", "last") else v for k, v in trained.items()}
+    for w in (trained, unsure):
+        ready = P.for_inference(w)
+        for text in texts:
+            want = naive(text, w, PARAMS.lean)
+            em = P.emissions(P.encode(text)[:, None], np.array([len(text)]), ready)
+            np.testing.assert_allclose(em[:, 0], want[:, 1:] - want[:, :1], atol=2e-4)
+            paths = np.array(list(itertools.product(range(len(P.KINDS)), repeat=len(text))))
+            score = want[np.arange(len(text)), paths].sum(1) + w["first"][paths[:, 0]] + w["last"][paths[:, -1]] + w["trans"][paths[:, :-1], paths[:, 1:]].sum(1)
+            mine = P.viterbi(em, ready)[:, 0]
+            assert score[(paths == mine).all(1)][0] > score.max() - 1e-3, text
+
+
+def test_short_secrets_and_figures_that_are_none(weights):
+    said = {"My key: password: hunter2xyz and then": "My key: password: <SECRET> and then", "api_key=ab12cd34 is set": "api_key=<SECRET> is set"}
+    same = ["see version 10.0.19041.1 now", "ISBN 978-3-16-148410-0 is good", "your order no. 123456789012 has shipped", "password: required field", "the password is wrong"]
+    for text, want in [*said.items(), *zip(same, same)]:
+        assert P.masked(text, P.spans_of([text], weights, PARAMS)[0]) == want
+
+
+def test_weights_are_kept(spark, monkeypatch):
+    runs, train = [], P.train
+    monkeypatch.setattr(P, "train", lambda p: runs.append(p) or train(p))
+    p = P.PiiParams(hidden=3, steps=2)
+    first, again = P.weights_of(spark, p), P.weights_of(spark, p)
+    assert runs == [p] and all((first[k] == again[k]).all() for k in first)
+
+
 def test_skipping_is_exact(weights):
     texts = [t for t, _ in P.labelled(150, 4)]
     ids = P.encode("".join(t.ljust(200)[:200] for t in texts)).reshape(-1, 200).T
