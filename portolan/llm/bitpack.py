@@ -8,9 +8,6 @@ a handful of numpy operations for each of 64 places.
 
 from __future__ import annotations
 
-import base64
-import functools
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.tokens import END_ID, MODEL, VOCABULARY, processor, ship_model
 from portolan.session import ship_code
 
 U = np.uint64
@@ -90,25 +88,13 @@ class PackedIds:
 
 @dataclass(frozen=True)
 class TokenParams:
-    ranks_path: str = os.environ.get("PORTOLAN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
-    vocabulary: int = 50_257
-    end_id: int = 50_256
+    model_path: str = MODEL
+    vocabulary: int = VOCABULARY
+    end_id: int = END_ID
     block_ids: int = 4096  # a multiple of 64
     shard_ids: int = 1 << 20
 
 
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("portolan", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 SHARD = "shard_id long, bits int, block_ids int, n_tokens long, doc_ids array<long>, doc_starts array<long>, block_offsets array<long>, data binary"
 
 
@@ -128,6 +114,7 @@ def pack_documents(docs: DataFrame, params: TokenParams = TokenParams(), text: s
     if p.block_ids % 64 or p.end_id >= p.vocabulary:
         raise ValueError("blocks are multiples of 64 ids, and the end id is in the vocabulary")
     ship_code(docs.sparkSession)
+    model = ship_model(docs.sparkSession, p.model_path)
 
     def shard(part: int, k: int, names: list, chunks: list[np.ndarray]) -> pd.DataFrame:
         sizes = np.array([len(x) for x in chunks], np.int64)
@@ -138,13 +125,13 @@ def pack_documents(docs: DataFrame, params: TokenParams = TokenParams(), text: s
         return pd.DataFrame({"shard_id": [(part << 32) | k], "bits": [bits], "block_ids": [p.block_ids], "n_tokens": [len(ids)], "doc_ids": [names], "doc_starts": [np.r_[0, np.cumsum(sizes)]], "block_offsets": [offsets], "data": [data]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(p.ranks_path).encode_ordinary
+        encode = processor(model.value).encode
         part, made, size = TaskContext.get().partitionId(), 0, 0
         names: list = []
         chunks: list[np.ndarray] = []
         for pdf in batches:
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
-                ids = np.array([*(encode(t) if t else ()), p.end_id], np.uint32)
+                ids = np.array([*encode(t or ""), p.end_id], np.uint32)
                 names.append(None if k is None else int(k))
                 chunks.append(ids)
                 size += len(ids)

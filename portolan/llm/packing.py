@@ -1,4 +1,4 @@
-"""Packing texts into windows of a fixed number of tokens, in bounded space.
+"""Packing token ids into windows of a fixed number, in bounded space.
 
 Each partition keeps a fixed number of open windows. A piece goes into the one
 it fits best; where none has room and no more may be open, the fullest is
@@ -11,14 +11,16 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.tokens import END_ID, MODEL, processor, ship_model
 from portolan.session import materialize, ship_code
 
-SCHEMA = "window_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, pieces array<string>"
+SCHEMA = "window_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, token_ids array<int>"
 #: Within pandas, ids are texts: as numbers, a null among them would make them floats and cut off long ones.
 _STAGED = SCHEMA.replace("doc_ids array<long>", "doc_ids array<string>") + ", part long, open boolean"
 
@@ -28,6 +30,8 @@ class PackParams:
     window: int = 2048
     open_windows: int = 64
     fan_in: int = 64  # partitions whose leftovers are merged by one task
+    model_path: str = MODEL
+    end_id: int = END_ID
 
 
 class Packer:
@@ -66,31 +70,21 @@ def _frame(windows: list[tuple[int, list, bool]], part: int, level: int, first:
     return pd.DataFrame({
         "window_id": [(level << 56) | (part << 32) | (first + i) for i in range(len(windows))],
         "n_tokens": [n for n, _, _ in windows],
-        **{c: [[s[j] for s in segments] for _, segments, _ in windows] for j, c in enumerate(("doc_ids", "starts", "lengths", "pieces"))},
+        **{c: [[s[j] for s in segments] for _, segments, _ in windows] for j, c in enumerate(("doc_ids", "starts", "lengths"))},
+        "token_ids": [np.concatenate([s[3] for s in segments]) for _, segments, _ in windows],
         "part": part,
         "open": [o for _, _, o in windows],
     })
 
 
-def pieces_of(text: str, window: int) -> Iterator[tuple[int, int, str]]:
-    """(start, length, text) of a text's pieces of at most ``window`` tokens, which are what single spaces separate."""
-    n = text.count(" ") + 1
-    if n <= window:
-        yield 0, n, text
-        return
-    words = text.split(" ")
-    for a in range(0, n, window):
-        yield a, min(window, n - a), " ".join(words[a : a + window])
-
-
 def _merger(p: PackParams, level: int, last: bool):
     """Packs one group's leftovers, largest first; but for the last level the emptiest windows stay open."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         packer, windows = Packer(p.window, len(pdf)), []
         pdf = pdf.sort_values(["n_tokens", "window_id"], ascending=[False, True])
-        for n, ids, starts, lengths, pieces in zip(pdf["n_tokens"], pdf["doc_ids"], pdf["starts"], pdf["lengths"], pdf["pieces"]):
-            segments = [(k, int(s), int(m), t) for k, s, m, t in zip(ids, starts, lengths, pieces)]
+        for n, ids, starts, lengths, tokens in zip(pdf["n_tokens"], pdf["doc_ids"], pdf["starts"], pdf["lengths"], pdf["token_ids"]):
+            segments = [(k, int(s), int(m), t) for k, s, m, t in zip(ids, starts, lengths, np.split(tokens, np.cumsum(lengths)[:-1]))]
             windows += [(m, s, False) for m, s in packer.place(int(n), segments)]
         rest = sorted(packer.rest(), key=lambda x: x[0])
         windows += [(m, s, not last and i < p.open_windows) for i, (m, s) in enumerate(rest)]
@@ -100,28 +94,32 @@ def _merger(p: PackParams, level: int, last: bool):
 
 
 def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Windows of at most ``window`` tokens: their documents' ids with each piece's start and length in tokens, and the pieces.
-
-    Each token of each text is in exactly one window; a text longer than a
-    window is cut into whole windows and a rest, and none is left out. A null
-    or blank text has no token and is in no window. A null id is a null in the
-    list; repeated rows are packed each by itself. Only id and text are read,
-    whatever other columns there are. An empty table gives no windows.
-    Windows depend on how the input is partitioned; their contents don't.
+    """Windows of at most ``window`` token ids: their documents' ids, each piece's start in its document and its length, and the ids.
+
+    A document is its text's ids and then the end id. Each id of each document
+    is in exactly one window; a document longer than a window is cut into
+    whole windows and a rest, and none is left out. A null or blank text is in
+    no window. A null doc_id is a null in the list; repeated rows are packed
+    each by itself. Only id and text are read, whatever other columns there
+    are. An empty table gives no windows. Windows depend on how the input is
+    partitioned; their contents don't.
     """
     p = params
     ship_code(docs.sparkSession)
+    model = ship_model(docs.sparkSession, p.model_path)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        packer, made = Packer(p.window, p.open_windows), 0
+        packer, made, encode = Packer(p.window, p.open_windows), 0, processor(model.value).encode
         for pdf in batches:
             closed = []
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
                 if not t or not t.strip():
                     continue
-                for start, n, piece in pieces_of(t, p.window):
-                    closed += [(m, s, False) for m, s in packer.place(n, [(k, start, n, piece)])]
+                ids = np.array([*encode(t), p.end_id], np.int32)
+                for start in range(0, len(ids), p.window):
+                    piece = ids[start : start + p.window]
+                    closed += [(m, s, False) for m, s in packer.place(len(piece), [(k, start, len(piece), piece)])]
                 if len(closed) >= 256:
                     yield _frame(closed, part, 0, made)
                     made += len(closed)
@@ -141,7 +139,6 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
     while True:
         level += 1
         last = parts <= p.fan_in
-
         grouped = staged.filter("open").withColumn("part", F.floor(F.col("part") / p.fan_in).cast("long"))
         staged = grouped.groupBy("part").applyInPandas(_merger(p, level, last), _STAGED)
         if last:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from portolan.llm import mixing, packing
+from portolan.llm import mixing, packing, tokens
 
 TEXT = "one two three four five six"
 
@@ -141,32 +141,62 @@ def test_packer_same_as_brute_force(lengths, limit):
     assert len(packer.room) <= limit
 
 
+SP = tokens.processor(open(tokens.MODEL, "rb").read())
+
+
+def ids_of(text):
+    return [*SP.encode(text), tokens.END_ID]
+
+
 def check(df, p):
     rows = packing.pack(df, p).collect()
     parts = {}
     for r in rows:
-        assert 0 < r["n_tokens"] <= p.window and sum(r["lengths"]) == r["n_tokens"]
-        for k, s, n, t in zip(r["doc_ids"], r["starts"], r["lengths"], r["pieces"]):
-            assert t.count(" ") + 1 == n
-            parts.setdefault(k, []).append((s, t))
+        assert 0 < r["n_tokens"] <= p.window and sum(r["lengths"]) == r["n_tokens"] == len(r["token_ids"])
+        at = 0
+        for k, s, n in zip(r["doc_ids"], r["starts"], r["lengths"]):
+            parts.setdefault(k, []).append((s, r["token_ids"][at : at + n]))
+            at += n
     assert len({r["window_id"] for r in rows}) == len(rows)
-    return rows, parts
+    return rows, {k: sorted(v) for k, v in parts.items()}
+
+
+def whole(pieces):
+    return [x for _, ids in pieces for x in ids]
 
 
 def test_every_token_is_in_one_window(docs):
-    pairs = [(i, " ".join(f"w{i}_{j}" for j in range(1 + i * 7 % 50))) for i in range(400)] + [(999, " ".join(map(str, range(1000))))]
-    df = docs(pairs).repartition(7)
-    rows, parts = check(df, packing.PackParams(window=64, open_windows=4, fan_in=2))
-    assert {k: " ".join(t for _, t in sorted(v)) for k, v in parts.items()} == dict(pairs)
-    total = sum(t.count(" ") + 1 for _, t in pairs)
-    assert len(rows) <= 1.1 * total / 64 + 2
+    pairs = [(i, " ".join(f"w{i}_{j}" for j in range(1 + i * 7 % 50))) for i in range(400)] + [(999, "\n".join(map(str, range(1000)))), (1000, "漢字" * 3000)]
+    rows, parts = check(docs(pairs).repartition(7), packing.PackParams(window=64, open_windows=4, fan_in=2))
+    assert {k: whole(v) for k, v in parts.items()} == {k: ids_of(t) for k, t in pairs}
+    assert len(rows) <= 1.1 * sum(len(ids_of(t)) for _, t in pairs) / 64 + 2
+
+
+def test_merge_same_as_brute_force():
+    """Leftovers, fullest first, each into the window it fits best, however many are open."""
+    r = np.random.default_rng(8)
+    for n, window, last in ((1, 20, True), (40, 20, True), (60, 30, False), (200, 64, False)):
+        sizes = r.integers(1, window, n)
+        ids = [np.arange(k * 100, k * 100 + m, dtype=np.int32) for k, m in enumerate(sizes)]
+        pdf = pd.DataFrame({"window_id": np.arange(n), "n_tokens": sizes, "doc_ids": [[str(k)] for k in range(n)], "starts": [[0]] * n, "lengths": [[int(m)] for m in sizes], "token_ids": ids, "part": 3, "open": True})
+        p = packing.PackParams(window=window, open_windows=8)
+        out = packing._merger(p, 1, last)((3,), pdf)
+        order = sorted(range(n), key=lambda k: (-sizes[k], k))
+        brute.n = -1
+        closed, open_ = brute([int(sizes[k]) for k in order], window, n)
+        want = sorted([str(order[i]) for i in w] for w in closed + open_)
+        assert sorted(out["doc_ids"].tolist()) == want
+        for r_ in out.itertuples():
+            assert r_.token_ids.tolist() == [x for k in r_.doc_ids for x in ids[int(k)]] and r_.n_tokens == len(r_.token_ids)
+        rest = sorted(sum(sizes[order[i]] for i in w) for w in open_)
+        assert sorted(out[out["open"]]["n_tokens"]) == ([] if last else rest[: p.open_windows])  # the emptiest wait for the next level
 
 
 def test_packing_odd_rows(docs):
-    pairs = [(1, None), (2, ""), (3, "   "), (4, "a b"), (4, "a b"), (None, "c"), (5, "x" * 100_000), (6, "w " * 50_000 + "w")]
+    pairs = [(1, None), (2, ""), (3, "   "), (4, "a b"), (4, "a b"), (None, "c"), (5, "x" * 100_000), (6, "w " * 50_000 + "w"), (7, "a" + " " * 1_000_000 + "b")]
     rows, parts = check(docs(pairs), packing.PackParams(window=16))
-    assert sorted(map(str, parts)) == ["4", "5", "6", "None"] and parts[4] == [(0, "a b"), (0, "a b")]
-    assert " ".join(t for _, t in sorted(parts[6])) == pairs[7][1]
+    assert sorted(map(str, parts)) == ["4", "5", "6", "7", "None"] and parts[4] == [(0, ids_of("a b"))] * 2
+    assert all(whole(parts[k]) == ids_of(t) for k, t in pairs[6:])
     big = [(2**60 + 1, "a"), (None, "b"), (2**60 + 3, "c d")]
     assert sorted(map(str, check(docs(big), packing.PackParams(window=16))[1])) == sorted(["None", str(2**60 + 1), str(2**60 + 3)])
     assert packing.pack(docs([])).count() == 0
