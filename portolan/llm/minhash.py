@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from portolan.llm.shingles import U, mix, shingle_keys, slices
 from portolan.operators.components import connected_components
-from portolan.session import arrow_batches, materialize, private_name, ship_code
+from portolan.session import arrow_batches, discard, materialize, private_name, ship_code
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class MinHashParams:
     smoothing: float = 0.05  # idf = ln(1 + 1/(df/N + smoothing)): what fewer than about 5 % of documents have counts as rare, so that the size of a group of copies hardly lowers their similarity
     table_bits: int = 12
     batch_rows: int = 1000  # documents or pairs that a Python worker holds at once
+    crowd: int = 20_000  # pairs of a bucket from which on only those are settled that a bound can't rule out; has no effect on the groups
     seed: int = 7
 
 
@@ -185,6 +186,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, p: MinHashParams) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(judge, schema)
 
 
+def prefix_keys(key: np.ndarray, weight: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
+    """A text's rarest features, as many as leave the others less than ``threshold`` of its weight; and its weight.
+
+    Texts that have none of these in common aren't similar: with the rarest
+    feature that two texts share left out of one's prefix, they share less
+    than ``threshold`` of its weight, which bounds their similarity.
+    """
+    rare = idf[(key & U(len(idf) - 1)).astype(np.int64)]
+    order = np.lexsort((key, -rare))
+    total = float(weight.sum(dtype=np.float64))
+    before = np.cumsum(weight[order], dtype=np.float64) - weight[order]
+    return key[order[total - before >= (threshold - 1e-6) * total]], total
+
+
+def late_pairs(placed: DataFrame, texts: DataFrame, idf, p: MinHashParams) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket, not yet in one group, that could still be near.
+
+    ``placed``: (bucket, h, first, g, fg), g and fg being the groups of h and
+    of the bucket's first. In a crowded bucket only such texts make a pair
+    that share one of both their prefix features and whose weights are in
+    proportion; many texts that have a passage in common, and no more, are
+    thus not held against each other.
+    """
+    member = placed.select("bucket", "h", "first", "g", (F.col("g") != F.col("fg")).alias("apart"))
+    load = member.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("apart"), 1)).alias("n_apart")).filter("n_apart > 0").select("bucket", (F.col("n") * F.col("n_apart") > p.crowd).alias("crowded"))
+    member = materialize(member.join(load, "bucket"), "minhash-apart")
+    couple = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    x = member.filter("apart").select("bucket", F.col("h").alias("x"), F.col("g").alias("gx"), "first")
+    y = member.select("bucket", F.col("h").alias("y"), F.col("g").alias("gy"), "crowded")
+    apart = "gx != gy and y != first"
+    few = x.join(y.filter("not crowded").drop("crowded"), "bucket").filter(apart).select(*couple)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            found = [(h[row], *prefix_keys(key, weight, idf.value, p.threshold)) for row, key, weight in features(batch.column(1), idf.value, p)]
+            offsets = pa.array(np.r_[0, np.cumsum([len(k) for _, k, _ in found])], pa.int32())
+            keys = np.concatenate([k for _, k, _ in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in found], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64())), pa.array([w for _, _, w in found], pa.float64())], ["h", "keys", "weight"])
+
+    crowd = member.filter("crowded")
+    wanted = crowd.select("h").distinct()
+    with arrow_batches(placed.sparkSession, p.batch_rows):
+        rare = materialize(texts.join(wanted, "h", "left_semi").select("h", "t").mapInArrow(prefixes, "h long, keys array<long>, weight double"), "minhash-prefixes")
+    keyed = crowd.join(rare, "h").select("bucket", F.explode("keys").alias("key"), "h", "first", "g", "apart", "weight")
+    kx = keyed.filter("apart").select("bucket", "key", F.col("h").alias("x"), F.col("g").alias("gx"), "first", F.col("weight").alias("wx"))
+    ky = keyed.select("bucket", "key", F.col("h").alias("y"), F.col("g").alias("gy"), F.col("weight").alias("wy"))
+    in_proportion = F.least("wx", "wy") >= F.greatest("wx", "wy") * F.lit(p.threshold - 1e-6)
+    many = kx.join(ky, ["bucket", "key"]).filter(apart).filter(in_proportion).select(*couple)
+    return few.unionAll(many).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: MinHashParams = MinHashParams()) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): each row's text hash, id and whether it has a word; and for each text hash of a group of two texts or more, the group's least hash.
 
@@ -193,7 +246,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     bucket's first; then, in what did not join the first text's group, each
     text against all texts of the bucket that are not yet in its own group.
     That settles every pair that could still change a group, and keeps large
-    groups of copies from costing the square of their size.
+    groups of copies from costing the square of their size; ``late_pairs``
+    keeps texts that merely share a passage from costing it.
     """
     p = params
     spark = docs.sparkSession
@@ -221,12 +275,12 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "do
     first_of = joined.select(F.col("node").alias("first"), F.col("component").alias("fg"))
     placed = members.join(group_of, "h", "left").join(first_of, "first", "left")
     placed = placed.select("bucket", "h", "first", F.coalesce("g", "h").alias("g"), F.coalesce("fg", "first").alias("fg"))
-    apart = placed.filter("g != fg").select("bucket", F.col("h").alias("x"), F.col("g").alias("gx"), "first")
-    rest = apart.join(placed.select("bucket", F.col("h").alias("y"), F.col("g").alias("gy")), "bucket").filter("gx != gy and y != first")
-    more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = late_pairs(placed, texts, idf, p)
     with arrow_batches(spark, p.batch_rows):
         late = materialize(_verified(more, texts, idf, p), "minhash-late-pairs")
     groups = connected_components(near.select("a", "b").unionByName(late.select("a", "b")), "a", "b")
+    for done in (members, texts, joined):
+        discard(done)
     return signed, groups.select(F.col("node").alias("h"), F.col("component").alias("g"))
 
 
@@ -235,7 +289,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Texts are compared in lower case by their words; those with equal texts
     are copies. Where ids tie, the text with the least hash stays; a null id
-    comes after all others. Rows that repeat both id and text count as one row.
+    comes after all others. Of rows that repeat both id and text, one stays:
+    that with the least hash of its columns.
     A null, empty or wordless text resembles nothing and stays. Texts of any
     length are read whole. Other columns, whatever their names, are passed
     on; an empty table gives an empty table.
@@ -246,12 +301,19 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     kept = group.groupBy("g").agg(F.min(rank).alias("best"))
     named = group.join(kept, "g").select("h", "k", rank.eqNullSafe(F.col("best")).alias("stays"))
     goes = materialize(named.filter(~F.col("stays")).select("h", "k"), "minhash-dropped")
-    h, k = private_name(docs, "__hash"), private_name(docs, "__key")
-    least = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    keyed = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).withColumn(k, least)
-    gone = goes.select(F.col("h").alias(h), F.coalesce(F.col("k").cast("string"), F.lit("")).alias(k))
-    left = keyed.join(gone.hint("shuffle_hash"), [h, k], "left_anti")
-    repeats = signed.groupBy("h", "k").count().filter("count > 1").limit(1).count()
-    if repeats:
-        left = left.dropDuplicates([h, k])
-    return left.drop(h, k)
+    repeats = signed.groupBy("h", "k").count().filter("count > 1").select("h", "k")
+    some = repeats.limit(1).count() > 0
+    h, k, mark = private_name(docs, "__hash"), private_name(docs, "__key"), private_name(docs, "__mark")
+    name = lambda c: F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c.cast("string")))
+    keyed = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).withColumn(k, name(F.col(f"`{doc_id}`")))
+    marks = goes.select(F.col("h").alias(h), name(F.col("k")).alias(k), F.lit("goes").alias(mark))
+    if not some:
+        left = keyed.join(marks.drop(mark).hint("shuffle_hash"), [h, k], "left_anti")
+        return left.drop(h, k)
+    staying = repeats.join(goes, (repeats.h == goes.h) & repeats.k.eqNullSafe(goes.k), "left_anti")
+    marks = marks.unionAll(staying.select(F.col("h").alias(h), name(F.col("k")).alias(k), F.lit("repeats")))
+    marked = keyed.join(marks.hint("shuffle_hash"), [h, k], "left")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    row = private_name(marked, "__row")
+    one = marked.filter(F.col(mark) == "repeats").withColumn(row, F.row_number().over(Window.partitionBy(h, k).orderBy(F.xxhash64(*plain)))).filter(F.col(row) == 1)
+    return marked.filter(F.col(mark).isNull()).drop(h, k, mark).unionAll(one.drop(h, k, mark, row))

@@ -69,9 +69,9 @@ def survivors(df, **kw):
     return sorted(str(r["doc_id"]) for r in M.drop_near_duplicates(df, **kw).select("doc_id").collect())
 
 
-def agrees(df, pairs):
+def agrees(df, pairs, **kw):
     """Nothing goes that brute force keeps, and at least nine in ten of what it takes out go."""
-    mine, true = survivors(df), brute_groups(pairs, P.threshold)
+    mine, true = survivors(df, **kw), brute_groups(pairs, P.threshold)
     assert set(true) <= set(mine)
     gone = len(pairs) - len(true)
     assert len(pairs) - len(mine) >= 0.9 * gone > 0
@@ -82,7 +82,7 @@ def test_same_as_brute_force(docs):
     for g in range(8):
         pairs += [(100 + 20 * g + i, edited(text(g), 1000 + 20 * g + i)) for i in range(1 + 2 * g)]
     pairs += [(900 + i, pairs[i][1]) for i in range(5)]
-    agrees(docs(pairs).repartition(5), pairs)
+    agrees(docs(pairs).repartition(5), pairs, params=M.MinHashParams(crowd=0))  # the bound rules out nothing that is near
 
 
 def test_large_group_of_copies_and_chain(docs):
@@ -101,6 +101,36 @@ def test_shared_passage_is_no_duplicate(docs):
     assert len(survivors(docs(pairs))) == 20
 
 
+def test_bound_on_unlike_texts_with_a_shared_header(spark):
+    """5,000 texts with one header in one bucket: few pairs are left to settle, and all that are near are among them."""
+    header = text(1, 60)
+    rows = [header + " " + text(100 + i, 140) for i in range(5000)]
+    for i in range(40):  # near pairs among them
+        rows[-1 - i] = edited(rows[i], i, 0.05)
+    texts = spark.createDataFrame(list(enumerate(rows)), "h long, t string").repartition(4)
+    df, n = M.document_frequencies(texts.select("t"), P)
+    idf = spark.sparkContext.broadcast(M.idf_table(df, n, P))
+    placed = spark.createDataFrame([(9, i, 0, i, 0) for i in range(len(rows))], "bucket long, h long, first long, g long, fg long")
+    found = {(r["a"], r["b"]) for r in M.late_pairs(placed, texts, idf, P).collect()}
+    assert {(i, 4999 - i) for i in range(1, 40)} <= found  # 0 is the first, whose pairs are settled before
+    assert len(found) < 50_000 < 5000 * 4999 / 2 / 200
+
+
+def test_an_empty_id_is_no_missing_id(spark):
+    for k in (None, "a"):
+        df = spark.createDataFrame([("", text(3)), (None, text(3)), (k, text(4))], "doc_id string, text string")
+        got = sorted((str(r["doc_id"]), r["text"]) for r in M.drop_near_duplicates(df).collect())
+        assert got == sorted([("", text(3)), (str(k), text(4))])
+
+
+def test_repeats_leave_other_rows_alone(spark):
+    t = text(5)
+    df = spark.createDataFrame([(1, t, "a"), (1, t, "b"), (1, t, "b"), (2, t, "c"), (3, text(6), "d"), (3, text(7), "e"), (4, None, "f"), (4, None, "g"), (4, None, "g")], "doc_id long, text string, v string")
+    out = M.drop_near_duplicates(df.repartition(3))
+    got = sorted((r["doc_id"], r["v"]) for r in out.collect())
+    assert [k for k, _ in got] == [1, 3, 3, 4] and got[1:3] == [(3, "d"), (3, "e")] and got == sorted((r["doc_id"], r["v"]) for r in out.collect())
+
+
 def test_nulls_blanks_ties_and_repeats(docs):
     t = text(3)
     pairs = [(1, None), (2, None), (3, ""), (4, "  \n"), (5, "!!! ---"), (None, t), (7, t), (6, t), (6, t), (8, "one"), (9, "One!"), (10, "two words"), (10, "other text here")]
