@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.tokens import END_ID, MODEL, VOCABULARY, processor, ship_model
+from portolan.llm.tokens import PIECES, PIECES_END, PIECES_VOCABULARY, ship_model, tokenizer
 from portolan.session import ship_code
 
 U = np.uint64
@@ -88,9 +88,9 @@ class PackedIds:
 
 @dataclass(frozen=True)
 class TokenParams:
-    model_path: str = MODEL
-    vocabulary: int = VOCABULARY
-    end_id: int = END_ID
+    model_path: str = PIECES
+    vocabulary: int = PIECES_VOCABULARY
+    end_id: int = PIECES_END
     block_ids: int = 4096  # a multiple of 64
     shard_ids: int = 1 << 20
 
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, params: TokenParams = TokenParams(), text: s
         return pd.DataFrame({"shard_id": [(part << 32) | k], "bits": [bits], "block_ids": [p.block_ids], "n_tokens": [len(ids)], "doc_ids": [names], "doc_starts": [np.r_[0, np.cumsum(sizes)]], "block_offsets": [offsets], "data": [data]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = processor(model.value).encode
+        encode = tokenizer(*model.value).encode
         part, made, size = TaskContext.get().partitionId(), 0, 0
         names: list = []
         chunks: list[np.ndarray] = []

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.tokens import END_ID, MODEL, processor, ship_model
+from portolan.llm.tokens import BYTES, BYTES_END, ship_model, tokenizer
 from portolan.session import materialize, ship_code
 
 SCHEMA = "window_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, token_ids array<int>"
@@ -30,8 +30,8 @@ class PackParams:
     window: int = 2048
     open_windows: int = 64
     fan_in: int = 64  # partitions whose leftovers are merged by one task
-    model_path: str = MODEL
-    end_id: int = END_ID
+    model_path: str = BYTES
+    end_id: int = BYTES_END
 
 
 class Packer:
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        packer, made, encode = Packer(p.window, p.open_windows), 0, processor(model.value).encode
+        packer, made, encode = Packer(p.window, p.open_windows), 0, tokenizer(*model.value).encode
         for pdf in batches:
             closed = []
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
