@@ -22,12 +22,12 @@ from portolan.session import discard, materialize, private_name
 
 NONE = "(none)"
 #: Topics by the first rule that holds for the text in lower case; the rest is general. A rule holds if the text has one
-#: of the literals, or has the sign and matches the pattern after it. Literals are found far faster than patterns.
+#: of the literals, or has a sign and matches the pattern with it. Literals are found far faster than patterns.
 TOPICS = (
-    ("legal", ("license ", "licence ", "licensed ", "licenced ", "copyright", "all rights reserved"), None, None),
-    ("tabular", (), " | ", r" \| .* \| "),
-    ("technical", ("token = ", "<secret>", "<ip>", "http://", "https://"), ".", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
-    ("contact", ("<email>", "<phone>", ") 555-"), "@", r"[a-z0-9]@[a-z0-9]"),
+    ("legal", ("license ", "licence ", "licensed ", "licenced ", "copyright", "all rights reserved"), ()),
+    ("tabular", (), ((" | ", r" \| .* \| "),)),
+    ("technical", ("<secret>", "<ip>", "http://", "https://"), ((" = ", r"""[a-z_]{2,} = ["'0-9\[{(]"""), (".", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"))),
+    ("contact", ("<email>", "<phone>"), (("@", r"[a-z0-9]@[a-z0-9]"), ("+", r"\+[0-9]{1,3}[ (.-]+[0-9]{2}"))),
 )
 
 
@@ -39,17 +39,17 @@ class MixParams:
     targets: dict[str, dict[str, float]] = field(default_factory=dict, hash=False)
     temper: float = 0.7
     fraction: float = 0.8
-    rounds: int = 12
-    bounded: bool = False  # the sample itself meets the targets; else only with mix_weight
-    bounded_rounds: int = 300
+    bounded: bool = True  # the sample itself meets the targets; else only with mix_weight
+    rounds: int = 100  # of raking, with weights cut at a cell's tokens if bounded
+    settle_rounds: int = 50  # and then without the cut
     driver_cells: int = 1_000_000
     broadcast_cells: int = 100_000
 
 
 def topic(text: Column) -> Column:
     out = F.lit("general")
-    for name, literals, sign, pattern in reversed(TOPICS):
-        tests = [text.contains(x) for x in literals] + ([text.contains(sign) & text.rlike(pattern)] if pattern else [])
+    for name, literals, patterns in reversed(TOPICS):
+        tests = [text.contains(x) for x in literals] + [text.contains(sign) & text.rlike(pattern) for sign, pattern in patterns]
         out = F.when(reduce(lambda a, b: a | b, tests), F.lit(name)).otherwise(out)
     return out
 
@@ -137,17 +137,14 @@ def rake_bounded(cells: pd.DataFrame, shares: dict[str, pd.Series], p: MixParams
 
     def trial(total: float) -> tuple[np.ndarray, float]:
         w = t * (total / t.sum())
-        for cut in (True, False):
-            for _ in range(p.bounded_rounds):
-                before = w
+        for cut, n in ((True, p.rounds), (False, p.settle_rounds)):
+            for _ in range(n):
                 for d in shares:
                     code, values = codes[d]
                     now = np.bincount(code, w, len(values))
                     w = w * np.divide(want[d] * total, now, out=np.zeros_like(now), where=now > 0)[code]
                 if cut:
                     w = np.minimum(w, t)
-                if np.abs(w - before).max() <= 1e-10 * total:
-                    break
         w = w / max(1.0, float((w / t).max()))
         return w, float(w.sum())
 
@@ -194,11 +191,11 @@ def rake_frames(cells: DataFrame, p: MixParams) -> DataFrame:
 
     start = cells.withColumn("w", F.col("tokens").cast("double"))
     if not p.bounded:
-        return rounds(start, p.rounds, total)
+        return rounds(start, p.rounds, total, close=1e-9)
 
     def trial(aim: float) -> tuple[DataFrame, float]:
-        held = rounds(start.withColumn("w", F.col("w") * F.lit(aim / total)), p.rounds, aim, cut=True)
-        held = rounds(held, p.bounded_rounds, aim, close=1e-6)
+        held = rounds(start.withColumn("w", F.col("w") * F.lit(aim / total)), p.rounds, aim, cut=True, close=1e-6)
+        held = rounds(held, p.settle_rounds, aim, close=1e-6)
         most, kept = held.agg(F.max(F.col("w") / F.col("tokens")), F.sum("w")).first()
         return held.withColumn("w", F.col("w") / F.lit(max(1.0, most))), kept / max(1.0, most)
 
@@ -213,17 +210,18 @@ def rake_frames(cells: DataFrame, p: MixParams) -> DataFrame:
 def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "text", doc_id: str = "doc_id", weights: bool = False) -> DataFrame:
     """A sample of ``docs`` with target weights; with ``weights`` also topic, keep_probability and mix_weight.
 
-    A cell's probability is ``fraction`` times its raked weight over its
-    tokens, at most 1; mix_weight is what that limit left over, so that tokens
-    times mix_weight meet the marginals. With ``bounded`` no probability has
-    to be limited: the sample itself is expected to meet the marginals,
-    ``fraction`` is lowered as far as that takes, and mix_weight is 1. If no
-    sample can meet them all, a warning says by how much it misses.
+    A cell's probability is its raked weight over its tokens. No weight is
+    raked above the tokens that are there, and ``fraction`` is lowered as far
+    as that takes: the sample itself is expected to meet the marginals, and
+    mix_weight is 1. If no sample can meet them all, a warning says by how
+    much it misses. Without ``bounded``, probabilities are cut at 1, and
+    mix_weight is what that left over, so that tokens times mix_weight meet
+    the marginals.
 
     Whether a document stays depends on its id alone, so repeated rows stay or
     go together; without an id, on its text. A null source or language is a
     value of its own, ``(none)``. A null or blank text has no tokens, weighs
-    nothing and stays if its cell is kept at all; a cell with no token in it
+    nothing and stays as its cell's other texts do; a cell with no token in it
     is kept. Texts are counted whole. Other columns are passed on, and an
     empty table gives an empty table. Does ``docs`` have a column topic, that
     is the topic.
@@ -271,27 +269,33 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), text: str = "t
 
 
 def mix_sources_sql(p: MixParams = MixParams()) -> str:
-    """The same for DuckDB over documents, with tempered targets and the rounds written out."""
-    holds = lambda lits, pattern: " OR ".join([f"contains(lower(text), '{x}')" for x in lits] + ([f"regexp_matches(lower(text), '{pattern}')"] if pattern else []))
-    rules = " ".join(f"WHEN {holds(lits, pattern)} THEN '{name}'" for name, lits, _, pattern in TOPICS)
+    """The same for DuckDB over documents, with tempered targets and one trial, which is enough where the targets can be met."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    holds = lambda lits, patterns: " OR ".join([f"contains(lower(text), {q(x)})" for x in lits] + [f"regexp_matches(lower(text), {q(x)})" for _, x in patterns])
+    rules = " ".join(f"WHEN {holds(lits, patterns)} THEN '{name}'" for name, lits, patterns in TOPICS)
+    keys = [f"k_{d}" for d in p.dims]
+    cell = ", ".join(keys)
     ctes = [
         f"""staged AS (SELECT *, coalesce(source, '{NONE}') AS k_source, coalesce(lang, '{NONE}') AS k_lang, CASE {rules} ELSE 'general' END AS k_topic,
         CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens FROM documents)""",
         "cells AS MATERIALIZED (SELECT k_source, k_lang, k_topic, sum(tokens)::DOUBLE AS tokens FROM staged GROUP BY ALL)",
-        "r0 AS MATERIALIZED (SELECT *, tokens AS w FROM cells WHERE tokens > 0)",
+        "r0 AS MATERIALIZED (SELECT * FROM cells WHERE tokens > 0)",
+        "whole AS MATERIALIZED (SELECT sum(tokens) AS tokens FROM r0)",
     ]
-    keys = [f"k_{d}" for d in p.dims]
     for k in keys:
-        ctes.append(f"t_{k} AS MATERIALIZED (SELECT {k}, pow(sum(tokens) / (SELECT sum(tokens) FROM r0), {p.temper}) AS x FROM r0 GROUP BY {k})")
-        ctes.append(f"s_{k} AS MATERIALIZED (SELECT {k}, x / (SELECT sum(x) FROM t_{k}) * (SELECT sum(tokens) FROM r0) AS want FROM t_{k})")
-    step = 0
-    for _ in range(p.rounds):
-        for k in keys:
-            ctes.append(f"m{step} AS MATERIALIZED (SELECT {k}, sum(w) AS now FROM r{step} GROUP BY {k})")
-            ctes.append(f"r{step + 1} AS MATERIALIZED (SELECT r.k_source, r.k_lang, r.k_topic, r.tokens, r.w * s.want / m.now AS w FROM r{step} r JOIN m{step} m USING ({k}) JOIN s_{k} s USING ({k}))")
-            step += 1
-    ctes.append(f"f AS (SELECT k_source, k_lang, k_topic, coalesce(r.w / r.tokens, {1 / p.fraction}) AS factor FROM cells LEFT JOIN r{step} r USING (k_source, k_lang, k_topic))")
-    return f"""WITH {", ".join(ctes)}
-    SELECT doc_id, text, lang, source, n_chars, k_topic AS topic, round(least(1.0, factor * {p.fraction}), 6) AS keep_probability, round(factor * {p.fraction} / least(1.0, factor * {p.fraction}), 6) AS mix_weight
-    FROM staged JOIN f USING (k_source, k_lang, k_topic)
-    WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT / {float(1 << 52)} < least(1.0, factor * {p.fraction})"""
+        ctes.append(f"m_{k} AS MATERIALIZED (SELECT {k}, sum(tokens) AS mass, pow(sum(tokens) / (SELECT tokens FROM whole), {p.temper}) AS x FROM r0 GROUP BY {k})")
+        ctes.append(f"s_{k} AS MATERIALIZED (SELECT {k}, mass, x / (SELECT sum(x) FROM m_{k}) AS share_{k} FROM m_{k})")
+    rooms = ", ".join(f"(SELECT min(mass / share_{k}) FROM s_{k})" for k in keys)
+    ctes.append(f"aim AS MATERIALIZED (SELECT least({p.fraction} * tokens, {rooms}) AS total, tokens FROM whole)")
+    joins = " ".join(f"JOIN s_{k} USING ({k})" for k in keys)
+    shares = ", ".join(f"share_{k}" for k in keys)
+    inner = f"SELECT * FROM raked WHERE step < {p.rounds + p.settle_rounds}"
+    for k in keys:
+        inner = f"SELECT * REPLACE (w * share_{k} * total / sum(w) OVER (PARTITION BY {k}) AS w) FROM ({inner})"
+    ctes.append(f"""raked AS (SELECT 0 AS step, {cell}, r0.tokens, {shares}, aim.total, r0.tokens * aim.total / aim.tokens AS w FROM r0 {joins} CROSS JOIN aim
+      UNION ALL SELECT step + 1, {cell}, tokens, {shares}, total, CASE WHEN step < {p.rounds} THEN least(w, tokens) ELSE w END FROM ({inner}))""")
+    ctes.append(f"settled AS MATERIALIZED (SELECT {cell}, w / tokens / greatest(1.0, (SELECT max(w / tokens) FROM raked WHERE step = {p.rounds + p.settle_rounds})) AS chance FROM raked WHERE step = {p.rounds + p.settle_rounds})")
+    ctes.append(f"f AS (SELECT {cell}, least(1.0, coalesce(chance, 1.0)) AS chance FROM cells LEFT JOIN settled USING ({cell}))")
+    return f"""WITH RECURSIVE {", ".join(ctes)}
+    SELECT doc_id, text, lang, source, n_chars, k_topic AS topic, round(chance, 6) AS keep_probability, 1.0::DOUBLE AS mix_weight FROM staged JOIN f USING ({cell})
+    WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT / {float(1 << 52)} < chance"""

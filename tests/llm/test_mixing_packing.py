@@ -27,15 +27,15 @@ def test_weights_meet_the_marginals(spark, docs):
 
 def test_driver_and_distributed_raking_agree(spark, docs):
     df = make(spark, docs)
-    a = mixing.mix_sources(df, mixing.MixParams(), weights=True)
-    b = mixing.mix_sources(df, mixing.MixParams(driver_cells=0, broadcast_cells=0), weights=True)
+    a = mixing.mix_sources(df, mixing.MixParams(bounded=False, rounds=12), weights=True)
+    b = mixing.mix_sources(df, mixing.MixParams(bounded=False, rounds=12, driver_cells=0, broadcast_cells=0), weights=True)
     cols = ["doc_id", F.round("keep_probability", 9).alias("p"), F.round("mix_weight", 9).alias("m")]
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
     keep_extra(a, df)
 
 
 def test_sample_follows_the_probabilities(spark, docs):
-    out = mixing.mix_sources(make(spark, docs, 6000), weights=True).groupBy("source").agg(F.count("*").alias("n"), F.avg("keep_probability").alias("p")).collect()
+    out = mixing.mix_sources(make(spark, docs, 6000), mixing.MixParams(bounded=False), weights=True).groupBy("source").agg(F.count("*").alias("n"), F.avg("keep_probability").alias("p")).collect()
     whole = {"hot": 4200, "mid": 600, "rare": 1200}
     for r in out:
         assert r["n"] / whole[r["source"]] == pytest.approx(r["p"], abs=0.05)
@@ -60,7 +60,27 @@ def test_mixing_same_as_sql(spark, sf):
     db.execute(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
     theirs = db.execute(mixing.mix_sources_sql()).df().sort_values("doc_id").reset_index(drop=True)
     assert mine["doc_id"].tolist() == theirs["doc_id"].tolist() and mine["topic"].tolist() == theirs["topic"].tolist()
-    np.testing.assert_allclose(mine["mix_weight"], theirs["mix_weight"], atol=1e-6)
+    np.testing.assert_allclose(mine["keep_probability"], theirs["keep_probability"], atol=1e-6)
+    assert mine["mix_weight"].round(6).eq(1).all()
+
+
+def test_documents_of_the_sample_meet_the_targets(spark):
+    """The shares of the tokens that are kept, counted without any weight, in the tables that the query reads."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("topic", mixing.topic(F.lower("text"))).withColumn("tokens", mixing.tokens(F.col("text")))
+    count = lambda x: x.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas()
+    whole, kept = count(df), count(mixing.mix_sources(df))
+    for d, share in mixing.target_shares(whole, mixing.MixParams()).items():
+        mine = kept.groupby(d)["tokens"].sum() / kept["tokens"].sum()
+        assert (mine - share).abs().max() < 0.01
+    assert kept["tokens"].sum() > 0.3 * whole["tokens"].sum()
+    assert len(whole["topic"].unique()) == 5
+
+
+def test_mixing_very_long_text(docs):
+    df = docs([(i, TEXT) for i in range(50)] + [(99, "word " * 400_000 + "http://x")])
+    out = mixing.mix_sources(df, mixing.MixParams(fraction=1.0, targets={"topic": {"general": 0.5, "technical": 0.5}}), weights=True)
+    p = {r["topic"]: r["keep_probability"] for r in out.select("topic", "keep_probability").collect()}
+    assert p["general"] == pytest.approx(1.0) and p.get("technical", 0) < 0.01  # the long text counts whole, so it can hardly stay
 
 
 def topics(spark, n=20_000):
@@ -68,7 +88,7 @@ def topics(spark, n=20_000):
     return spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 7 < 2, "es").otherwise("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 3).alias("source"))
 
 
-@pytest.mark.parametrize("limits", [{}, {"driver_cells": 0, "broadcast_cells": 0}])
+@pytest.mark.parametrize("limits", [{}, {"driver_cells": 0, "broadcast_cells": 0, "rounds": 25}])
 def test_bounded_sample_itself_meets_the_targets(spark, limits):
     df = topics(spark)
     whole = df.groupBy("source", "lang", mixing.topic(F.lower("text")).alias("topic")).agg((F.count("*") * 6).alias("tokens")).toPandas()
@@ -141,11 +161,11 @@ def test_packer_same_as_brute_force(lengths, limit):
     assert len(packer.room) <= limit
 
 
-SP = tokens.processor(open(tokens.MODEL, "rb").read())
+BPE = tokens.tokenizer("tiktoken", open(tokens.BYTES, "rb").read())
 
 
 def ids_of(text):
-    return [*SP.encode(text), tokens.END_ID]
+    return [*BPE.encode(text), tokens.BYTES_END]
 
 
 def check(df, p):
