@@ -3,7 +3,8 @@
 A template is tokenised, parsed into a syntax tree, its constants are folded,
 and the tree becomes nested Python closures. The language has no way to
 Python: names are looked up in the context alone, attributes are keys of
-mappings, there are no calls but a fixed set, and work is bounded.
+mappings, there are no calls but of a fixed set of functions and methods and
+of the template's own macros, and work is bounded.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ UNDEFINED = Undefined()
 
 # Tokens
 
-_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.S)
-_LEX = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|[-+~*/%<>=()\[\]{}.,:|]))""")
+_OPEN = re.compile(r"\{\{|\{%|\{#")
+_LEX = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|\*\*|[-+~*/%<>=()\[\]{}.,:|]))""", re.S)
 _ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"'}
 
 
@@ -64,25 +65,63 @@ def lex(source: str) -> list[tuple[str, Any]]:
     return [*out, ("end", None)]
 
 
-def split(source: str) -> list[tuple[str, Any]]:
-    """("text", s), ("expr", tokens) and ("tag", tokens), with the whitespace that dashes ask for taken away."""
+def _end_of_tag(source: str, at: int, close: str) -> int:
+    """Where ``close`` stands outside of strings and of braces that the tag opened itself."""
+    depth = 0
+    while at < len(source):
+        c = source[at]
+        if depth == 0 and source.startswith(close, at):
+            return at
+        if c in "'\"":
+            at += 1
+            while at < len(source) and source[at] != c:
+                at += 2 if source[at] == "\\" else 1
+        elif c in "{[(":
+            depth += 1
+        elif c in "}])":
+            depth = max(0, depth - 1)
+        at += 1
+    raise TemplateError(f"no {close}")
+
+
+def split(source: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> list[tuple[str, Any]]:
+    """("text", s), ("expr", tokens) and ("tag", tokens), with the whitespace that dashes ask for taken away.
+
+    ``trim_blocks``: the first line feed after a tag or comment goes;
+    ``lstrip_blocks``: so do blanks between a line's start and a tag or comment.
+    """
     out: list[tuple[str, Any]] = []
-    at, strip = 0, False
-    for m in _TAG.finditer(source):
-        text = source[at : m.start()]
+    at, strip, trim = 0, False, False
+    while True:
+        m = _OPEN.search(source, at)
+        text = source[at : m.start() if m else len(source)]
         if strip:
             text = text.lstrip()
-        if m[1] or m[4] or m[7]:
+        elif trim and text.startswith("\n"):
+            text = text[1:]
+        if not m:
+            out.append(("text", text))
+            return out
+        kind, begin = m[0], m.end()
+        end = source.find("#}", begin) if kind == "{#" else _end_of_tag(source, begin, {"{{": "}}", "{%": "%}"}[kind])
+        if end < 0:
+            raise TemplateError("no #}")
+        inner = source[begin:end]
+        if inner[:1] == "-":
             text = text.rstrip()
+        elif lstrip_blocks and kind != "{{" and inner[:1] != "+":
+            head, feed, last = text.rpartition("\n")
+            if not last.strip(" \t") and (feed or not out):
+                text = head + feed
         out.append(("text", text))
-        if m[2] is not None:
-            out.append(("expr", lex(m[2])))
-        elif m[5] is not None:
-            out.append(("tag", lex(m[5])))
-        at, strip = m.end(), bool(m[3] or m[6] or m[9])
-    rest = source[at:]
-    out.append(("text", rest.lstrip() if strip else rest))
-    return out
+        strip = inner[-1:] == "-"
+        trim = trim_blocks and kind != "{{"
+        inner = inner[inner[:1] in ("-", "+") and len(inner) > 0 : len(inner) - strip]
+        if kind == "{{":
+            out.append(("expr", lex(inner)))
+        elif kind == "{%":
+            out.append(("tag", lex(inner)))
+        at = end + 2
 
 
 # Syntax tree
@@ -175,7 +214,10 @@ class _Expression:
                 test = self.name()
                 if test not in _TESTS:
                     raise TemplateError(f"no test {test}")
-                x = Node("is", test, (x,))
+                more = ()
+                if test in _TESTS_OF_TWO:
+                    more = tuple(self.arguments()[0]) if self.peek("(") else (self.binary(3),)
+                x = Node("is", test, (x, *more))
                 x = Node("not", None, (x,)) if no else x
             else:
                 return x
@@ -205,7 +247,8 @@ class _Expression:
             if v.lower() in ("true", "false", "none"):
                 return Node("const", {"true": True, "false": False, "none": None}[v.lower()])
             if self.peek("("):
-                return Node("call", v, tuple(self.arguments()))
+                values, names = self.arguments()
+                return Node("call", (v, names), tuple(values))
             return Node("name", v)
         if v == "(":
             x = self.expression()
@@ -219,23 +262,47 @@ class _Expression:
                     self.take(",")
             self.take("]")
             return Node("list", None, tuple(items))
+        if v == "{":
+            pairs = []
+            while not self.peek("}"):
+                pairs.append(self.expression())
+                self.take(":")
+                pairs.append(self.expression())
+                if not self.peek("}"):
+                    self.take(",")
+            self.take("}")
+            return Node("dict", None, tuple(pairs))
         raise TemplateError(f"unexpected {v!r}")
 
-    def arguments(self) -> list[Node]:
+    def arguments(self) -> tuple[list[Node], tuple[str, ...]]:
+        """The values, those with a name last, and the names."""
         self.take("(")
-        out = []
+        values: list[Node] = []
+        names: list[str] = []
         while not self.peek(")"):
-            out.append(self.expression())
+            if self.tokens[self.at][0] == "name" and self.tokens[self.at + 1] == ("op", "="):
+                names.append(self.name())
+                self.take("=")
+            elif names:
+                raise TemplateError("a value without a name after one with a name")
+            values.append(self.expression())
             if not self.peek(")"):
                 self.take(",")
         self.take(")")
-        return out
+        return values, tuple(names)
 
     def postfix(self, x: Node) -> Node:
         while True:
             if self.peek("."):
                 self.at += 1
-                x = Node("item", None, (x, Node("const", self.name())))
+                k = self.name()
+                if self.peek("("):
+                    values, names = self.arguments()
+                    if k not in _METHODS:
+                        raise TemplateError(f"no method {k}")
+                    x = Node("method", (k, names), (x, *values))
+                else:
+                    x = Node("item", None, (x, Node("const", k)))
             elif self.peek("["):
                 self.at += 1
                 bounds: list[Node | None] = [None]
@@ -256,7 +323,8 @@ class _Expression:
                 f = self.name()
                 if f not in _FILTERS:
                     raise TemplateError(f"no filter {f}")
-                x = Node("filter", f, (x, *(self.arguments() if self.peek("(") else ())))
+                values, names = self.arguments() if self.peek("(") else ([], ())
+                x = Node("filter", (f, names), (x, *values))
             else:
                 return x
 
@@ -317,11 +385,34 @@ class _Template:
                 other, _, _ = self.block("endif")
             return Node("if", None, (test, body, other))
         if word == "set":
-            name = e.name()
+            name, field_ = e.name(), None
+            if e.peek("."):
+                e.at += 1
+                field_ = e.name()
+            if not field_ and e.tokens[e.at][0] == "end":
+                body, _, _ = self.block("endset")
+                return Node("capture", name, (body,))
             e.take("=")
             value = e.expression()
             e.done()
-            return Node("set", name, (value,))
+            return Node("set", (name, field_), (value,))
+        if word == "macro":
+            name = e.name()
+            e.take("(")
+            names, given = [], []
+            while not e.peek(")"):
+                names.append(e.name())
+                if e.peek("="):
+                    e.at += 1
+                    given.append(e.expression())
+                elif given:
+                    raise TemplateError("a parameter without a value after one with a value")
+                if not e.peek(")"):
+                    e.take(",")
+            e.take(")")
+            e.done()
+            body, _, _ = self.block("endmacro")
+            return Node("macro", (name, tuple(names)), (*given, body))
         if word == "generation":
             e.done()
             body, _, _ = self.block("endgeneration")
@@ -329,8 +420,8 @@ class _Template:
         raise TemplateError(f"no tag {word}")
 
 
-def parse(source: str) -> Node:
-    return _Template(split(source)).block()[0]
+def parse(source: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -> Node:
+    return _Template(split(source, trim_blocks, lstrip_blocks)).block()[0]
 
 
 # Meaning
@@ -340,6 +431,17 @@ LONGEST = 50_000_000
 MOST_STEPS = 10_000_000
 #: Characters that the input of the running template accounts for.
 _GIVEN: ContextVar[int] = ContextVar("given", default=0)
+#: Loop steps and macro calls of the running template.
+_STEPS: ContextVar[list[int]] = ContextVar("steps")
+
+
+def _step() -> None:
+    steps = _STEPS.get(None)
+    if steps is None:  # a constant is being folded
+        return
+    steps[0] += 1
+    if steps[0] > MOST_STEPS + _GIVEN.get() // 1000 * 4:
+        raise TemplateError("too many steps")
 
 
 def _given(x: Any) -> int:
@@ -382,16 +484,60 @@ _CMP: dict[str, Callable] = {"==": lambda a, b: a == b, "!=": lambda a, b: a !=
 _TESTS: dict[str, Callable] = {
     "defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str),
     "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool), "mapping": lambda x: isinstance(x, dict), "sequence": lambda x: isinstance(x, (str, list)),
-    "true": lambda x: x is True, "false": lambda x: x is False, "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0,
+    "true": lambda x: x is True, "false": lambda x: x is False, "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0, "boolean": lambda x: isinstance(x, bool), "float": lambda x: isinstance(x, float),
+    "integer": lambda x: isinstance(x, int) and not isinstance(x, bool), "iterable": lambda x: isinstance(x, (str, list, dict)), "lower": lambda x: _text(x).islower(), "upper": lambda x: _text(x).isupper(),
+    "equalto": lambda x, y: x == y, "eq": lambda x, y: x == y, "ne": lambda x, y: x != y, "in": lambda x, y: x in y, "sameas": lambda x, y: x is y or x == y and type(x) is type(y), "divisibleby": lambda x, y: x % y == 0,
 }
+_TESTS_OF_TWO = {"equalto", "eq", "ne", "in", "sameas", "divisibleby"}
 _FILTERS: dict[str, Callable] = {
     "trim": lambda x, *c: _text(x).strip(*c), "upper": lambda x: _text(x).upper(), "lower": lambda x: _text(x).lower(), "capitalize": lambda x: _text(x).capitalize(), "title": lambda x: _text(x).title(),
     "length": len, "count": len, "first": lambda x: x[0] if x else UNDEFINED, "last": lambda x: x[-1] if x else UNDEFINED, "join": lambda x, sep="": _sized(sep.join(_text(y) for y in x)),
-    "default": lambda x, d="", falsy=False: d if x is UNDEFINED or (falsy and not x) else x, "replace": lambda x, a, b: _sized(_text(x).replace(a, b)) if a else x, "string": _text,
-    "int": lambda x: int(x), "tojson": lambda x: json.dumps(x, ensure_ascii=False), "reverse": lambda x: x[::-1], "list": list,
+    "default": lambda x, d="", falsy=False: d if x is UNDEFINED or (falsy and not x) else x, "replace": lambda x, a, b, count=-1: _replaced(_text(x), a, b, count) if a else x, "string": _text,
+    "int": lambda x: int(x), "float": lambda x: float(x), "abs": abs, "tojson": lambda x, indent=None: _sized(json.dumps(x, ensure_ascii=False, indent=indent)), "reverse": lambda x: x[::-1], "list": lambda x: list(x), "safe": _text, "min": lambda x: min(x, default=UNDEFINED),
+    "max": lambda x: max(x, default=UNDEFINED), "sum": lambda x: sum(x), "sort": lambda x, reverse=False: sorted(x, reverse=reverse), "unique": lambda x: list({_key(y): y for y in reversed(x)}.values())[::-1], "items": lambda x: [[k, v] for k, v in x.items()],
+    "dictsort": lambda x: [[k, x[k]] for k in sorted(x)], "indent": lambda x, width=4, first=False: _sized(_indent(_text(x), " " * width, first)), "map": lambda x, f=None, attribute=None: [_item(y, attribute) for y in x] if attribute is not None else [_FILTERS[f](y) for y in x],
+    "selectattr": lambda x, a, test=None, *v: [y for y in x if _passes(_item(y, a), test, v)], "rejectattr": lambda x, a, test=None, *v: [y for y in x if not _passes(_item(y, a), test, v)],
+    "select": lambda x, test=None, *v: [y for y in x if _passes(y, test, v)], "reject": lambda x, test=None, *v: [y for y in x if not _passes(y, test, v)],
 }
 
 
+def _key(x: Any) -> Any:
+    return json.dumps(x, sort_keys=True, default=str) if isinstance(x, (dict, list)) else x
+
+
+def _indent(x: str, by: str, first: bool) -> str:
+    head, *rest = x.split("\n")
+    return "\n".join([by + head if first else head, *[by + y if y else y for y in rest]])
+
+
+def _passes(x: Any, test: str | None, v: tuple) -> bool:
+    return bool(_TESTS[test](x, *v) if test is not None else x is not UNDEFINED and x)
+
+
+def _of(kind: type, name: str, result: Callable = lambda x: x) -> Callable:
+    def run(x: Any, *a: Any, **k: Any) -> Any:
+        if not isinstance(x, kind):
+            raise TemplateError(f"no method {name} of this value")
+        return _sized(result(getattr(kind, name)(x, *a, **k)))
+
+    return run
+
+
+#: Methods by name; each looks at what it is called on, and there are no others.
+_METHODS: dict[str, Callable] = {name: _of(str, name) for name in "strip lstrip rstrip upper lower title capitalize startswith endswith split rsplit splitlines find removeprefix removesuffix isdigit isalpha isspace isupper islower".split()}
+_METHODS |= {"items": _of(dict, "items", lambda x: [list(y) for y in x]), "keys": _of(dict, "keys", list), "values": _of(dict, "values", list), "get": lambda x, k, d=None: x.get(k, d) if isinstance(x, dict) else _raise("no method get of this value")}
+_METHODS |= {"replace": lambda x, a, b, n=-1: _replaced(x, a, b, n), "join": lambda x, items: _sized(x.join(_text(y) for y in items)) if isinstance(x, str) else _raise("no method join of this value"), "count": lambda x, y: x.count(y) if isinstance(x, (str, list)) else _raise("no method count of this value"), "index": lambda x, y: x.index(y) if isinstance(x, (str, list)) else _raise("no method index of this value")}
+
+
+def _replaced(x: Any, a: str, b: str, n: int) -> str:
+    if not isinstance(x, str):
+        raise TemplateError("no method replace of this value")
+    times = x.count(a) if n < 0 else min(n, x.count(a))
+    if len(x) + times * (len(b) - len(a)) > _longest():
+        raise TemplateError("a value grew too long")
+    return x.replace(a, b, n)
+
+
 def _no_format() -> Any:
     raise TemplateError("strings have no % here")
 
@@ -402,13 +548,17 @@ def _raise(message: str = "") -> Any:
 
 def _range(*bounds: int) -> list[int]:
     r = range(*bounds)
-    if len(r) > 1_000_000:
+    if len(r) > MOST_STEPS + _GIVEN.get() // 1000 * 4:
         raise TemplateError("a range is too long")
     return list(r)
 
 
-_CALLS: dict[str, Callable] = {"raise_exception": _raise, "range": _range}
-_PURE = {"minus", "not", "compare", "binary", "in", "is", "and", "or", "choose", "filter", "list", "slice", "item"}
+class Namespace(dict):
+    """What ``namespace()`` makes: its fields can be set from within loops."""
+
+
+_CALLS: dict[str, Callable] = {"raise_exception": _raise, "range": _range, "namespace": lambda *a, **k: Namespace(*a, **k), "dict": lambda *a, **k: dict(*a, **k)}
+_PURE = {"minus", "not", "compare", "binary", "in", "is", "and", "or", "choose", "filter", "slice", "item", "method"}
 
 
 def fold(n: Node) -> Node:
@@ -446,6 +596,34 @@ def _item(a: Any, k: Any) -> Any:
     return UNDEFINED
 
 
+def _calling(f: Callable[[dict], Callable], p: list[Callable], names: tuple[str, ...]) -> Callable[[dict], Any]:
+    if not names:
+        return lambda c: f(c)(*[x(c) for x in p])
+    plain, named = p[: len(p) - len(names)], p[len(p) - len(names) :]
+    return lambda c: f(c)(*[x(c) for x in plain], **{k: x(c) for k, x in zip(names, named)})
+
+
+class Macro:
+    """A macro: called with values, it gives its text."""
+
+    def __init__(self, names: tuple[str, ...], given: list[Callable], body: Callable, scope: dict):
+        self.names, self.given, self.body, self.scope = names, given, body, scope
+
+    def __call__(self, *values: Any, **named: Any) -> str:
+        _step()
+        if len(values) > len(self.names) or set(named) - set(self.names):
+            raise TemplateError("a macro has no such parameter")
+        c = dict(self.scope)
+        first = len(self.names) - len(self.given)
+        for i, k in enumerate(self.names):
+            c[k] = values[i] if i < len(values) else named[k] if k in named else self.given[i - first](c) if i >= first else UNDEFINED
+        out = Out()
+        self.body(c, out)
+        if out.spans:
+            raise TemplateError("generation within a macro")
+        return "".join(out.parts)
+
+
 def _expression(n: Node) -> Callable[[dict], Any]:
     """A closure from a context to the node's value."""
     kind, v = n.kind, n.value
@@ -461,21 +639,35 @@ def _expression(n: Node) -> Callable[[dict], Any]:
         a, lo, hi, by = p
         return lambda c: a(c)[slice(lo(c), hi(c), by(c))]
     if kind == "filter":
-        f, a, rest = _FILTERS[v], p[0], p[1:]
-        return (lambda c: f(a(c), *[x(c) for x in rest])) if rest else (lambda c: f(a(c)))
+        f, names = _FILTERS[v[0]], v[1]
+        a, rest = p[0], p[1:]
+        return _calling(lambda c: f, p, names) if rest else (lambda c: f(a(c)))
+    if kind == "method":
+        f = _METHODS[v[0]]
+        return _calling(lambda c: f, p, v[1])
     if kind == "call":
-        if v not in _CALLS:
-            raise TemplateError(f"no function {v}")
-        f = _CALLS[v]
-        return lambda c: f(*[x(c) for x in p])
+        name, names = v
+        f = _CALLS.get(name)
+
+        def called(c: dict) -> Callable:
+            own = c.get(name)
+            if isinstance(own, Macro):
+                return own
+            if f is None:
+                raise TemplateError(f"no function {name}")
+            return f
+
+        return _calling(called, p, names)
     if kind == "list":
         return lambda c: [x(c) for x in p]
+    if kind == "dict":
+        return lambda c: {k(c): x(c) for k, x in zip(p[::2], p[1::2])}
     if kind == "choose":
         test, yes, no = p
         return lambda c: yes(c) if test(c) else no(c)
     if kind == "is":
         f, a = _TESTS[v], p[0]
-        return lambda c: f(a(c))
+        return (lambda c: f(*[x(c) for x in p])) if len(p) > 1 else (lambda c: f(a(c)))
     if kind == "not":
         a = p[0]
         return lambda c: not a(c)
@@ -496,11 +688,11 @@ def _expression(n: Node) -> Callable[[dict], Any]:
 class Out:
     """The text so far, and where generated parts begin and end."""
 
-    __slots__ = ("parts", "size", "spans", "steps")
+    __slots__ = ("parts", "size", "spans")
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.size = self.steps = 0
+        self.size = 0
         self.spans: list[tuple[int, int]] = []
 
     def put(self, s: str) -> None:
@@ -532,8 +724,30 @@ def _statement(n: Node) -> Callable[[dict, Out], None]:
         test, yes, no = _expression(n.parts[0]), _statement(n.parts[1]), _statement(n.parts[2])
         return lambda c, o: yes(c, o) if test(c) else no(c, o)
     if kind == "set":
-        name, e = n.value, _expression(n.parts[0])
-        return lambda c, o: c.__setitem__(name, e(c))
+        (name, key), e = n.value, _expression(n.parts[0])
+        if key is None:
+            return lambda c, o: c.__setitem__(name, e(c))
+
+        def set_field(c: dict, o: Out) -> None:
+            if not isinstance(c.get(name), Namespace):
+                raise TemplateError(f"{name} is no namespace")
+            c[name][key] = e(c)
+
+        return set_field
+    if kind == "capture":
+        name, body = n.value, _statement(n.parts[0])
+
+        def capture(c: dict, o: Out) -> None:
+            inner = Out()
+            body(c, inner)
+            if inner.spans:
+                raise TemplateError("generation within set")
+            c[name] = "".join(inner.parts)
+
+        return capture
+    if kind == "macro":
+        (name, names), given, body = n.value, [_expression(x) for x in n.parts[:-1]], _statement(n.parts[-1])
+        return lambda c, o: c.__setitem__(name, Macro(names, given, body, c))
     if kind == "generation":
         body = _statement(n.parts[0])
 
@@ -558,9 +772,7 @@ def _statement(n: Node) -> Callable[[dict, Out], None]:
             if test(inner):
                 picked.append(x)
         for i, x in enumerate(picked):
-            o.steps += 1
-            if o.steps > MOST_STEPS + _GIVEN.get() // 1000 * 4:
-                raise TemplateError("too many steps")
+            _step()
             _bind(inner, names, x)
             inner["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(picked), "length": len(picked), "revindex0": len(picked) - 1 - i, "previtem": picked[i - 1] if i else UNDEFINED, "nextitem": picked[i + 1] if i + 1 < len(picked) else UNDEFINED}
             body(inner, o)
@@ -585,15 +797,17 @@ class Template:
     """A compiled template; ``render`` gives the text and the spans of its generated parts."""
 
     source: str
+    trim_blocks: bool = False
+    lstrip_blocks: bool = False
     tree: Node = field(init=False)
 
     def __post_init__(self) -> None:
-        self.tree = fold(parse(self.source))
+        self.tree = fold(parse(self.source, self.trim_blocks, self.lstrip_blocks))
         self._run = _statement(self.tree)
 
     def render(self, **context: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Out()
-        token = _GIVEN.set(_given(context))
+        token, steps = _GIVEN.set(_given(context)), _STEPS.set([0])
         try:
             self._run(dict(context), out)
         except TemplateError:
@@ -602,15 +816,22 @@ class Template:
             raise TemplateError(f"{type(e).__name__}: {e}") from None
         finally:
             _GIVEN.reset(token)
+            _STEPS.reset(steps)
         return "".join(out.parts), out.spans
 
 
 RENDERED = "conv_id long, n_messages long, text string, generated array<struct<start: int, end: int>>, error string"
 
 
-def format_conversations(turns: DataFrame, template: str = CHATML, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_conversations(
+    turns: DataFrame, template: str = CHATML, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context: dict[str, Any] | None = None, trim_blocks: bool = False, lstrip_blocks: bool = False
+) -> DataFrame:
     """One row per conversation: the rendered text, the spans of generated parts in its characters, or the template's error.
 
+    A template sees ``messages``, ``bos_token`` and ``eos_token`` (empty),
+    ``tools`` (none) and ``add_generation_prompt`` (false), and what
+    ``context`` gives instead of these or besides.
+
     Messages are ordered by turn, then role, then text, nulls first; repeated
     rows are repeated messages. A null role reads as ``unknown``, a null text
     as empty; rows with a null conv_id make one conversation. Texts of any
@@ -618,19 +839,20 @@ def format_conversations(turns: DataFrame, template: str = CHATML, conv_id: str
     table gives no conversations. A wrong template fails at once, on the
     driver.
     """
-    Template(template)
+    Template(template, trim_blocks, lstrip_blocks)
+    known = {"bos_token": "", "eos_token": "", "tools": None, "add_generation_prompt": False} | (context or {})
     ship_code(turns.sparkSession)
     message = F.struct(F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("unknown")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("content"))
     grouped = turns.select(F.col(f"`{conv_id}`").cast("string").alias("conv_id"), message.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Template(template)
+        t = Template(template, trim_blocks, lstrip_blocks)
         for pdf in batches:
             rows = []
             for k, messages in zip(pdf["conv_id"], pdf["messages"]):
                 ms = [{"role": m["role"], "content": m["content"]} for m in messages]
                 try:
-                    s, spans = t.render(messages=ms, add_generation_prompt=False)
+                    s, spans = t.render(**known | {"messages": ms})
                     rows.append((k, len(ms), s, [{"start": a, "end": b} for a, b in spans], None))
                 except TemplateError as e:
                     rows.append((k, len(ms), None, [], str(e)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from portolan.llm import bitpack as B
 from portolan.llm import chat as C
-from portolan.llm.tokens import MODEL, processor
+from portolan.llm.tokens import PIECES, tokenizer
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -30,6 +30,69 @@ def test_language(source, want):
     assert render(source, a=True, b=False, c=True, xs=["p", "q"], d={"k": "v"}, ps=[[1, 2], [3, 4]]) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("{{ ' a b '.strip().upper() }}{{ 'x,y'.split(',')[1] }}", "A By"), ("{% set ns = namespace(n=0, s='') %}{% for x in xs %}{% set ns.n = ns.n + 1 %}{% set ns.s = x ~ ns.s %}{% endfor %}{{ ns.n }}{{ ns.s }}", "2qp"),
+        ("{{ {'a': {'b': [1, 2]}}['a']['b'][1] }}{{ {'a': 1}.get('z', 7) }}", "27"), ("{% macro say(a, b='!') %}<{{ a }}{{ b }}>{% endmacro %}{{ say('x') }}{{ say('y', b='?') }}{{ say(b=1, a=2) }}", "<x!><y?><21>"),
+        ("{{ d | tojson(indent=2) }}", '{\n  "k": "v"\n}'), ("{% set t %}a{{ 1 }}{% endset %}[{{ t }}]", "[a1]"), ("{% for k, v in d.items() %}{{ k }}={{ v }}{% endfor %}", "k=v"), ("{{ '}}' ~ \"%}\" ~ '{{' }}", "}}%}{{"),
+        ("{{ ms | selectattr('r', 'equalto', 'u') | map(attribute='t') | join('+') }}{{ ms | map(attribute='r') | list | length }}", "1+33"), ("{{ 'u' is eq 'u' }}{{ 3 is divisibleby(3) }}{{ 2 is in [1, 2] }}{{ 'ab'.startswith('a') and not 'ab'.endswith('a') }}", "TrueTrueTrueTrue"),
+        ("{{ 'aXbXc'.replace('X', '-', 1) }}{{ xs | first }}{{ {} | length }}{{ dict(a=1).keys() | join }}", "a-bXcp0a"), ("{% for i in range(2) -%}\n {{ i }}\n{%- endfor %}", "01"), ("{{ 'a\nb' | indent(2) }}", "a\n  b"),
+    ],
+)
+def test_what_templates_in_use_need(source, want):
+    assert render(source, xs=["p", "q"], d={"k": "v"}, ms=[{"r": "u", "t": 1}, {"r": "a", "t": 2}, {"r": "u", "t": 3}]) == want
+
+
+HEADERS = """{{- bos_token }}
+{%- if tools %}
+    {{- "tools: " + (tools | tojson) + "\n" }}
+{%- endif %}
+{%- set ns = namespace(last=-1) %}
+{%- for m in messages %}
+    {%- if m['role'] == 'user' %}{% set ns.last = loop.index0 %}{% endif %}
+{%- endfor %}
+{%- for message in messages %}
+    {% if not (message.role in ['user', 'assistant', 'system']) %}
+        {{ raise_exception('Unknown role: ' ~ message.role) }}
+    {% endif %}
+    {%- if message.role == 'assistant' %}
+        {{- '<|start|>assistant<|end|>' }}{% generation %}{{ message['content'].strip() + eos_token }}{% endgeneration %}
+    {%- else %}
+        {{- '<|start|>' + message['role'] + '<|end|>' + message['content'] | trim }}{{ '*' if loop.index0 == ns.last else '' }}
+    {%- endif %}
+{%- endfor %}
+{%- if add_generation_prompt %}
+    {{- '<|start|>assistant<|end|>' }}
+{%- endif %}"""
+
+
+def test_a_template_as_models_have_it(spark):
+    rows = [(1, 0, "system", " be kind "), (1, 1, "user", "hi"), (1, 2, "assistant", " hello "), (1, 3, "user", "bye"), (2, 0, "tool", "x")]
+    out = C.format_conversations(spark.createDataFrame(rows, TURNS), HEADERS, context={"bos_token": "<s>", "eos_token": "</s>", "tools": [{"name": "f"}], "add_generation_prompt": True}, trim_blocks=True, lstrip_blocks=True)
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert got[1]["text"] == '<s>tools: [{"name": "f"}]\n<|start|>system<|end|>be kind<|start|>user<|end|>hi<|start|>assistant<|end|>hello</s><|start|>user<|end|>bye*<|start|>assistant<|end|>'
+    assert [got[1]["text"][x["start"] : x["end"]] for x in got[1]["generated"]] == ["hello</s>"]
+    assert got[2]["text"] is None and got[2]["error"] == "Unknown role: tool"
+
+
+def test_trimmed_blocks():
+    source = "a\n  {% if true %}\n  b\n  {% endif %}\n{# c #}\nd {{ 1 }}\n"
+    assert C.Template(source).render()[0] == "a\n  \n  b\n  \n\nd 1\n"
+    assert C.Template(source, True, True).render()[0] == "a\n  b\nd 1\n"
+
+
+def test_a_very_long_conversation_is_rendered_whole():
+    text, _ = C.Template(C.CHATML).render(messages=[{"role": "user", "content": "x" * 60_000_000}])
+    assert len(text) > 60_000_000
+
+
+@pytest.mark.parametrize("source", ["{% macro m(n) %}{{ m(n) }}{{ m(n) }}{% endmacro %}{{ m(1) }}", "{{ 'a'.format(1) }}", "{{ x.mro() }}", "{% set x.y = 1 %}", "{{ [1].append(2) }}", "{{ 'x' | map('nothing') }}", "{{ 'aa'.replace('a', 'b' * 40000000) }}", "{{ say() }}", "{% macro m(a) %}{% endmacro %}{{ m(1, 2) }}", "{{ 'a'", "{% if '%}' "])
+def test_new_ways_are_bounded(source):
+    with pytest.raises(C.TemplateError):
+        render(source, x={"a": 1})
+
+
 def test_bounds_leave_long_input_whole(monkeypatch):
     monkeypatch.setattr(C, "LONGEST", 1000)
     monkeypatch.setattr(C, "MOST_STEPS", 10, raising=False)
@@ -137,7 +200,7 @@ def test_bits_and_limits():
 def test_documents_come_back(docs, vocabulary):
     p = B.TokenParams(vocabulary=vocabulary, block_ids=64, shard_ids=700)
     pairs = [(1, None), (2, ""), (3, "hello world"), (3, "hello world"), (None, "naïve café 😀\n\n  x"), (5, "<|endoftext|>"), (2**60 + 1, "big")] + [(10 + i, f"text {i} " * i) for i in range(60)] + [(99, "long text " * 5000), (100, " " * 1_000_000 + "x")]
-    enc = processor(open(MODEL, "rb").read())
+    enc = tokenizer("model", open(PIECES, "rb").read())
     back = []
     for r in B.pack_documents(docs(pairs).repartition(3), p).collect():
         x = B.PackedIds(r["bits"], r["block_ids"], r["n_tokens"], np.array(r["block_offsets"]), bytes(r["data"]))
