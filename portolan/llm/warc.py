@@ -93,10 +93,33 @@ def _headers(head: bytes) -> dict[str, str] | None:
     return out
 
 
+def _agrees(given: str, data: bytes) -> bool | None:
+    """Whether a digest line is that of ``data``, in hexadecimal, base32 or base64; None for an algorithm that isn't known."""
+    name, _, value = given.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    made, value = hashlib.new(name, data).digest(), value.strip()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=") or value.rstrip("=") in (base64.b64encode(made).decode().rstrip("="), base64.urlsafe_b64encode(made).decode().rstrip("="))
+
+
+def _digest_status(h: dict[str, str], block: bytes) -> str:
+    """The block's digest, and the payload's: of an HTTP message what follows its header, else the block. A revisit's payload is elsewhere."""
+    found = []
+    if "warc-block-digest" in h:
+        found.append(_agrees(h["warc-block-digest"], block))
+    if "warc-payload-digest" in h and h.get("warc-type", "").lower() != "revisit":
+        http = h.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+        found.append(_agrees(h["warc-payload-digest"], block.partition(b"\r\n\r\n")[2] if http else block))
+    known = [x for x in found if x is not None]
+    return "no_digest" if not known else "ok" if all(known) else "digest_mismatch"
+
+
 def records(stream: BinaryIO) -> Iterator[dict]:
     """Each record of a .warc.gz stream, in order, with a status.
 
-    ok: framed and the digest agrees; no_digest: framed, none given;
+    ok: framed, and its digests agree, those of the block and of the payload;
+    no_digest: framed, but none is given of an algorithm that is known;
     digest_mismatch; length_mismatch: the block isn't followed by the blank
     lines where Content-Length puts its end; malformed: no WARC header or
     length; corrupt: the member isn't valid gzip, and reading goes on at the
@@ -111,7 +134,7 @@ def records(stream: BinaryIO) -> Iterator[dict]:
         start = src.at - len(first)
         inflate = zlib.decompressobj(31)
         head, headers, want = b"", None, -1
-        body, size, hasher, tail, status = [], 0, hashlib.sha1(), b"", None
+        body, size, tail, status = [], 0, b"", None
         data = first
         while True:
             try:
@@ -122,9 +145,12 @@ def records(stream: BinaryIO) -> Iterator[dict]:
                 src.back(data[3:] if data is first and data.startswith(MAGIC) else data[1:] if data is first else data)
                 break
             if headers is None:
+                seen = max(0, len(head) - 3)
                 head += out
-                cut = head.find(b"\r\n\r\n")
-                if cut >= 0:
+                cut = head.find(b"\r\n\r\n", seen)
+                if cut < 0 and len(head) >= 5 and not head.startswith(b"WARC/"):
+                    headers, out = {}, b""  # no WARC record; nothing of it is held
+                elif cut >= 0:
                     headers, out = _headers(head[:cut]) or {}, head[cut + 4 :]
                     length = headers.get("content-length", "")
                     want = int(length) if length.isdigit() else -1
@@ -133,7 +159,6 @@ def records(stream: BinaryIO) -> Iterator[dict]:
             if out and want >= 0:
                 part, out = out[: want - size], out[max(0, want - size) :]
                 body.append(part)
-                hasher.update(part)
                 size += len(part)
                 tail = (tail + out)[:8]
             if inflate.eof:
@@ -143,18 +168,14 @@ def records(stream: BinaryIO) -> Iterator[dict]:
             if not data:
                 status = "truncated"
                 break
-        h = headers or {}
+        h, block = headers or {}, b"".join(body)
         if status is None:
-            given = h.get("warc-block-digest") or h.get("warc-payload-digest")
             if not h or want < 0:
                 status = "malformed"
             elif size != want or tail != b"\r\n\r\n":
                 status = "length_mismatch"
-            elif not given:
-                status = "no_digest"
             else:
-                mine = base64.b32encode(hasher.digest()).decode()
-                status = "ok" if given.partition(":")[2].upper() == mine or given.partition(":")[2].lower() == hasher.hexdigest() else "digest_mismatch"
+                status = _digest_status(h, block)
         uri = h.get("warc-target-uri")
         if uri is not None and ("%0D" in uri or "%0A" in uri):
             uri = uri.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
@@ -162,7 +183,7 @@ def records(stream: BinaryIO) -> Iterator[dict]:
         yield {
             "offset": start, "record_id": h.get("warc-record-id"), "type": h.get("warc-type"), "uri": uri, "date": h.get("warc-date"),
             "page_id": int(page) if page.lstrip("-").isdigit() else None, "content_length": want if want >= 0 else None,
-            "digest": hasher.hexdigest() if size else hashlib.sha1(b"").hexdigest(), "status": status, "block": b"".join(body),
+            "digest": hashlib.sha1(block).hexdigest(), "status": status, "block": block,
         }
         if status == "truncated" or (status == "corrupt" and not src.seek_magic()):
             return

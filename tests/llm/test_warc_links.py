@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import io
 
 import duckdb
@@ -59,6 +61,35 @@ def test_faults_are_told_apart_and_reading_goes_on():
     assert read(b"") == []
 
 
+def test_digests_of_other_writers():
+    """Payload digests, other algorithms and encodings, header names in any case."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = b"<p>hi</p>\r\n\r\nmore"
+
+    def made(lines, block, kind="response"):
+        head = "\r\n".join(["WARC/1.1", f"warc-type: {kind}", *lines, f"content-length: {len(block)}"])
+        return member(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    b32 = lambda name, x: base64.b32encode(hashlib.new(name, x).digest()).decode()
+    msg = "Content-Type: application/http; msgtype=response"
+    whole = http + body
+    cases = [
+        (made([msg, f"WARC-Payload-Digest: sha1:{b32('sha1', body)}"], whole), "ok"), (made([msg, f"WARC-Payload-Digest: sha1:{b32('sha1', whole)}"], whole), "digest_mismatch"),
+        (made([f"WARC-Block-Digest: sha256:{hashlib.sha256(whole).hexdigest()}"], whole), "ok"), (made([f"WARC-Block-Digest: SHA-256:{b32('sha256', whole)}"], whole), "ok"),
+        (made([f"WARC-Block-Digest: sha1:{base64.b64encode(hashlib.sha1(whole).digest()).decode()}"], whole), "ok"), (made([f"WARC-Block-Digest: sha256:{'0' * 64}"], whole), "digest_mismatch"),
+        (made([f"WARC-Block-Digest: blake9:{'0' * 64}"], whole), "no_digest"), (made([msg, f"WARC-Block-Digest: sha1:{b32('sha1', whole)}", f"WARC-Payload-Digest: md5:{'0' * 32}"], whole), "digest_mismatch"),
+        (made([msg, f"WARC-Block-Digest: sha1:{b32('sha1', http)}", f"WARC-Payload-Digest: sha1:{b32('sha1', body)}"], http, "revisit"), "ok"), (made([f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest()}"], body, "resource"), "ok"),
+    ]
+    got = read(b"".join(x for x, _ in cases))
+    assert [r["status"] for r in got] == [s for _, s in cases] and got[0]["block"] == whole
+
+
+def test_members_without_an_end_of_header():
+    long = member(b"WARC/1.0\r\n" + b"X: y\r\n" * 400_000)
+    junk = member(b"\x00" * 50_000_000)
+    assert [r["status"] for r in read(long + junk + warc.record(b"a", None, 1))] == ["malformed", "malformed", "ok"]
+
+
 def test_table_round_trip(spark):
     rows = [(1, "http://a/", "<p>é</p>"), (1, "http://a/", "<p>é</p>"), (2, None, "x"), (None, "http://b/\r\nEvil: 1", "y"), (4, "http://c/", None), (5, "http://d/", "z" * 3_000_000), (6, "", ""), (2**60 + 1, "http://e/", "big")]
     df = spark.createDataFrame(rows, PAGES).withColumn("block", F.lit(1)).withColumn("status", F.lit("mine"))
@@ -117,5 +148,31 @@ def test_links_same_as_brute_force_and_sql(spark):
     assert sorted(map(str, mine)) == sorted(map(str, theirs))
 
 
+def test_long_ways_and_cycles(spark):
+    """Scores are settled: a cycle, a chain of 30 links to a blocked seed, and joins that give what one task gives."""
+    names = [f"c{i}.com" for i in range(30)] + ["x-casino.com"]
+    rows = [page(i, f"http://{a}/", f"http://{b}/") for i, (a, b) in enumerate(zip(names, names[1:]))]
+    ring = ["r0.com", "r1.com", "r2.com"]
+    rows += [page(100 + i, f"http://{a}/", f"http://{b}/") for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))] + [page(200, "http://uni.edu/", "http://r0.com/")]
+    df = spark.createDataFrame(rows, PAGES)
+    score = lambda p: {r["host"]: (r["trust"], r["distrust"]) for r in links.filter_urls(df, p).collect()}
+    got, joined = score(links.LinkParams()), score(links.LinkParams(local_links=0, save_every=10))
+    assert got.keys() == joined.keys()
+    for h in got:
+        assert got[h] == pytest.approx(joined[h], abs=1e-6)
+    assert got["r0.com"][0] == pytest.approx(0.85 / (1 - 0.85**3), abs=1e-3)  # the limit
+    assert got["c0.com"][1] == pytest.approx(0.85**30, rel=1e-6) and got["c29.com"][1] == pytest.approx(0.85)
+    db = duckdb.connect()
+    db.register("pages", df.toPandas())
+    theirs = {h: (t, d) for _, _, h, t, d, _ in db.execute(links.filter_urls_sql()).fetchall()}
+    for h in got:
+        assert theirs[h] == pytest.approx(got[h], abs=2e-6)
+
+
+def test_links_of_very_long_pages(spark):
+    rows = [(1, "http://a.com/", "<p>word</p>" * 300_000 + '<a href="http://x-casino.com/">'), (2, "http://x-casino.com/", "")]
+    assert {r["page_id"]: r["kept"] for r in links.filter_urls(spark.createDataFrame(rows, PAGES)).collect()} == {1: False, 2: False}
+
+
 def test_links_empty(spark):
     assert links.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
