@@ -42,6 +42,22 @@ class HashedNgrams:
         return out / np.where(norm > 0, norm, 1)
 
 
+class LetterCounts:
+    """How often each letter and figure occurs; with ``unit`` scaled to length 1. Small enough to be said in SQL."""
+
+    SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def __init__(self, unit: bool = False):
+        self.unit = unit
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        x = np.array([[t.lower().count(c) for c in self.SIGNS] for t in texts], np.float64).reshape(len(texts), len(self.SIGNS))
+        if self.unit:
+            n = np.sqrt((x * x).sum(1, keepdims=True))
+            x /= np.where(n > 0, n, 1)
+        return x
+
+
 def embed(embedder: Embedder | None = None):
     """A vectorised UDF from text to array<float>; a null text gives null. Apply it to distinct texts."""
     use = embedder or HashedNgrams()

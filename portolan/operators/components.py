@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from portolan.session import discard, materialize, ship_code
 
 
+FOREST_STEP = 50_000  # edges
+
+
 def spanning_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges (a, b) with b the least node of a's component, one per node that is not that least node."""
     codes, nodes = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True), sort=True)
@@ -41,10 +44,17 @@ def spanning_forest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = None
+    """The forest of all batches. New edges wait until they are as many as the forest's, so each edge is looked at twice on average and not once for each batch."""
+    held, waiting, n = None, [], 0
     for pdf in batches:
         if len(pdf):
-            held = spanning_forest(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+            waiting.append(pdf)
+            n += len(pdf)
+            if n >= max(FOREST_STEP, 0 if held is None else len(held)):
+                held = spanning_forest(pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True))
+                waiting, n = [], 0
+    if waiting:
+        held = spanning_forest(pd.concat([*([] if held is None else [held]), *waiting], ignore_index=True))
     if held is not None:
         yield held
 

@@ -85,9 +85,14 @@ def blocking_pairs(df: DataFrame, key: str, name: str, max_length_gap: int = 20,
     return joined.select("name_a", "name_b", *[f"{c}_{s}" for c in keep for s in "ab"], key, gap.alias("length_diff"))
 
 
-def anti_by(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key ``old`` doesn't have yet. Null keys are never found, so they count as new."""
-    return new.join(old.select(*keys), list(keys), "left_anti")
+def anti_by(new: DataFrame, old: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """Rows of ``new`` whose key ``old`` doesn't have yet. Null keys are never found, so they count as new; ``null_safe`` finds them."""
+    if not null_safe:
+        return new.join(old.select(*keys), list(keys), "left_anti")
+    named = {k: private_name(new, f"__old_{i}") for i, k in enumerate(keys)}
+    side = old.select(*[F.col(f"`{k}`").alias(n) for k, n in named.items()])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in named.items()]
+    return new.join(side, same, "left_anti")
 
 
 def text_chunks(df: DataFrame, text: str, stride: int = 1500, width: int = 1700, least: int = 200, at_least: int = 5000) -> DataFrame:

@@ -15,6 +15,7 @@ from portolan.operators.relational import top_by
 from portolan.session import materialize, ship_code
 
 BROADCAST_BYTES = 256 << 20
+PRODUCT_BYTES = 64 << 20  # of similarities in single precision that a worker holds at once
 
 
 def _unit(vectors: pa.Array) -> np.ndarray:
@@ -33,20 +34,28 @@ def _best(q: np.ndarray, x: np.ndarray, fast: np.ndarray, rank: np.ndarray, k: i
     """For each query the k best of x by (similarity falling, rank rising): chosen in single precision with a margin, settled in double."""
     s = q.astype(np.float32) @ fast.T
     k = min(k, x.shape[0])
-    low = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-5
-    at, sims = np.empty((len(q), k), np.int64), np.empty((len(q), k))
-    for i in range(len(q)):
-        c = np.flatnonzero(s[i] >= low[i])
-        exact = x[c] @ q[i]
-        order = np.lexsort((rank[c], -np.round(exact, 9)))[:k]
-        at[i], sims[i] = c[order], exact[order]
+    some = min(k + 16, x.shape[0])
+    cand = np.argpartition(s, x.shape[0] - some, axis=1)[:, x.shape[0] - some :] if some < x.shape[0] else np.broadcast_to(np.arange(some), (len(q), some))
+    near = np.take_along_axis(s, cand, 1)
+    low = np.partition(near, some - k, axis=1)[:, some - k] - 1e-5  # the k-th best with a margin
+    cand = np.take_along_axis(cand, np.argsort(rank[cand], axis=1, kind="stable"), 1)
+    exact = np.einsum("qcd,qd->qc", x[cand], q)
+    order = np.argsort(-np.round(exact, 9), axis=1, kind="stable")[:, :k]
+    at, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(exact, order, 1)
+    if some < x.shape[0]:
+        for i in np.flatnonzero(near.min(1) >= low):  # what wasn't looked at could be as good: all that is within the margin
+            c = np.flatnonzero(s[i] >= low[i])
+            exact = x[c] @ q[i]
+            best = np.lexsort((rank[c], -np.round(exact, 9)))[:k]
+            at[i], sims[i] = c[best], exact[best]
     return at, sims
 
 
 def cosine_top_k(queries: DataFrame, refs: DataFrame, q_vec: str, r_vec: str, r_key: str, k: int = 5, carry: tuple[str, ...] = (), batch: int = 1024, limit: int = BROADCAST_BYTES, exclude_equal: str | None = None) -> DataFrame:
     """Each query row without its vector, with ``r_key``, ``carry`` of the reference, sim and rank (1 is best); ties by ``r_key``.
 
-    Similarities are matrix products on Arrow batches. A reference side up to
+    Similarities are matrix products on Arrow batches of at most ``batch``
+    queries, fewer where there are many references. A reference side up to
     ``limit`` bytes is broadcast; a larger one is cut into slices of that size
     by key, each slice gives its own best k for every query, and those are
     merged: the result is the same. With ``exclude_equal``, a query isn't
@@ -76,9 +85,10 @@ def cosine_top_k(queries: DataFrame, refs: DataFrame, q_vec: str, r_vec: str, r_
             x, info = held.value
             fast = x.astype(np.float32)
             order = np.arange(len(x))
+            step = max(1, min(batch, PRODUCT_BYTES // (4 * len(x))))
             for big in batches:
-                for lo in range(0, big.num_rows, batch):
-                    b = big.slice(lo, batch)
+                for lo in range(0, big.num_rows, step):
+                    b = big.slice(lo, step)
                     at, sims = _best(_unit(b.column(q_vec)), x, fast, order, want)
                     rows, refs_at, s = np.repeat(np.arange(b.num_rows), at.shape[1]), at.ravel(), sims.ravel()
                     rank = np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), b.num_rows)

@@ -92,7 +92,7 @@ def plan_question(q: str) -> list[dict[str, Any]]:
             ask = (["total_landed_cost_usd", "total_shipments"], ["consignee_name"])
         calls.append({"tool_name": QUERY, "arguments": {"metrics": ask[0], "dimensions": ask[1], "where": where, "limit": f.limit}})
     if what_if:
-        calls.append({"tool_name": SIMULATE, "arguments": {"consignee": f.companies[0][1] if f.companies else None, "additional_rate_pp": f.points if f.points is not None else 25.0, "hs_chapters": ",".join(f.chapters), "origin_countries": ",".join(f.countries), "scenario_name": q[:80]}})
+        calls.append({"tool_name": SIMULATE, "arguments": {"consignee": f.companies[0][1] if f.companies else None, "additional_rate_pp": f.points if f.points is not None else 25.0, "hs_chapters": ",".join(f.chapters), "origin_countries": ",".join(f.countries), "scenario_name": q}})
     if says:
         calls.append({"tool_name": RETRIEVE, "arguments": {"query": q, "ticker": f.companies[0][0] if f.companies else None, "k": 5}})
     return calls
@@ -150,7 +150,7 @@ class Agent:
         for c in self.planner(question):
             content.append({"type": "tool_use", "tool_use": {"name": c["tool_name"], "input": c["arguments"]}})
             result = self.call(c["tool_name"], c["arguments"])
-            content.append({"type": "text", "text": f"{c['tool_name']}: {json.dumps(result, default=str)[:4000]}\n"})
+            content.append({"type": "text", "text": f"{c['tool_name']}: {json.dumps(result, default=str)}\n"})
         return parse_response({"content": content}) | {"latency_ms": int((time.time() - began) * 1000)}
 
 

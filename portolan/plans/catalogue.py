@@ -6,40 +6,19 @@ codes, part types chapters, suppliers suppliers, customers' nations origins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from portolan.functions import country, hs, money, text, vector
+from portolan.functions import money, text, vector
 from portolan.operators import relational as rel
 from portolan.operators.components import connected_components
 from portolan.operators.similarity import cosine_top_k
-from portolan.plans import entities, gold, profile, scenario, search
+from portolan.plans import entities, gold, probes, profile, scenario  # noqa: F401  (probes register their own queries)
+from portolan.plans.queries import oracle_sql, queries, query, table  # noqa: F401
 from portolan.plans.semantic import Dimension, Metric, Model, Relationship
-from portolan.session import ship_code
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from portolan.plans.world import product_sql
+from portolan.streaming import incremental
 
 def r6(c: str, name: str | None = None):
     return F.round(F.col(c), 6).alias(name or c)
@@ -269,13 +248,6 @@ def q_strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
-@query()
-def q_search_eq(spark, sf_dir):
-    ship_code(spark)
-    index = search.build_index(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return index.search("the and of thing", 10, ["item_id"]).withColumn("score", F.round("score", 6))
-
-
 # H, I: column functions
 
 
@@ -285,93 +257,13 @@ def q_normalize_name(spark, sf_dir):
     return c.select("c_custkey", text.normalize_company_name(F.concat(F.lit("The "), "c_name", F.lit(" & Co., Ltd."))).alias("norm"))
 
 
-def _product_sql(x: str) -> str:
-    out = f"upper({x})"
-    for p in text.PRODUCT_NOISE:
-        out = f"regexp_replace({out}, '(?i){p}', '', 'g')"
-    return f"trim(regexp_replace(regexp_replace({out}, '(?i)[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query(f"SELECT p_partkey, {_product_sql('x')} AS norm FROM (SELECT p_partkey, p_name || ' PO# ' || p_partkey::VARCHAR || ' STYLE: AB-12 HS CODE: 392690 ' || p_size::VARCHAR || ' KGS, 7654321 MSCU1234567 un 1234' AS x FROM part)")
+@query(f"SELECT p_partkey, {product_sql('x')} AS norm FROM (SELECT p_partkey, p_name || ' PO# ' || p_partkey::VARCHAR || ' STYLE: AB-12 HS CODE: 392690 ' || p_size::VARCHAR || ' KGS, 7654321 MSCU1234567 un 1234' AS x FROM part)")
 def q_normalize_text(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     x = F.concat("p_name", F.lit(" PO# "), F.col("p_partkey").cast("string"), F.lit(" STYLE: AB-12 HS CODE: 392690 "), F.col("p_size").cast("string"), F.lit(" KGS, 7654321 MSCU1234567 un 1234"))
     return p.select("p_partkey", text.normalize_product_text(x).alias("norm"))
 
 
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-_ADDRESSES = {
-    "1 MAIN ST, ATLANTA, GEORGIA": "US?", "BERLIN, GERMANY": "DE", "MADE IN CHINA": None, "NO 5, SHENZHEN, CHINA": "CN", "PORT OF SPAIN": None, "HAMBURG, DE 20457": "DE", "HAMBURG DE": None, "GREER SC 29651": "US",
-    "WILMINGTON, DE 19801": "DE", "NEWARK NJ 07102-1234 USA": "US", "TOKYO JAPAN": "JP", "DUBAI": "AE", "X, MX 12345": "MX", "SOMEWHERE 12345": "US", "COLONIA ROMA 06700": None, "12 HIGH ST, WALES": "GB", "BOSTON US": "US",
-}
-_ADDRESSES["1 MAIN ST, ATLANTA, GEORGIA"] = None
-_quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-
-
-def _values_sql(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(_quote(v) for v in r) + ')' for r in rows)}) t({names})"
-
-
-@query(_values_sql(list(_ADDRESSES.items()), "address, country"))
-def q_country_case(spark, sf_dir):
-    return values(spark, [(a,) for a in _ADDRESSES], "address string").withColumn("country", country.extract_country_from_text(F.col("address")))
-
-
-_PORTS = {"Hamburg,Germany": "DE", "Antwerp,Belgium": "BE", "Port of Spain,Trinidad": None, "Valencia,Spain": "ES", "Felixstowe,England": "GB", "Ningbo,China": "CN", "Busan,South Korea": None, "Veracruz,Mexico": "MX"}
-
-
-@query(_values_sql([(p, c, p.rpartition(",")[2]) for p, c in _PORTS.items()], "port, origin, suffix"))
-def q_port_origin(spark, sf_dir):
-    p = values(spark, [(a,) for a in _PORTS], "port string")
-    return p.withColumn("origin", country.port_origin_country(F.col("port"))).withColumn("suffix", country.port_suffix(F.col("port")))
-
-
-_NAMES = [("DHL GLOBAL", True, False), ("K LINE", True, False), ("MARCO POLO", True, False), ("MOLSON", True, False), ("ACME", False, False), ("to order of bank", False, True), ("unknown notify", False, True), ("na", False, True), ("ab", False, True), ("   ", False, True)]
-
-
-@query(_values_sql(_NAMES, "name, forwarder, placeholder"))
-def q_forwarder_placeholder(spark, sf_dir):
-    n = values(spark, [(a,) for a, _, _ in _NAMES], "name string")
-    return n.withColumn("forwarder", text.is_freight_forwarder(F.col("name"))).withColumn("placeholder", text.is_placeholder_name(F.col("name")))
-
-
-_RATES = [("Free", 0.0, None), (" 3.4% ", 0.034, None), ("1.5c/kg", None, "1.5c/kg"), ("free", None, "free"), ("  ", None, None), ("12%", 0.12, None), ("2.5% + 3c", None, "2.5% + 3c")]
-
-
-@query("SELECT rate, ad_valorem::DOUBLE AS ad_valorem, specific FROM (" + _values_sql(_RATES, "rate, ad_valorem, specific") + ")")
-def q_rate_parse(spark, sf_dir):
-    r = values(spark, [(a,) for a, _, _ in _RATES], "rate string")
-    return r.withColumn("ad_valorem", F.round(hs.ad_valorem_rate(F.col("rate")), 6)).withColumn("specific", hs.specific_rate(F.col("rate")))
-
-
-_ANSWERS = [("870899", "870899", "classified_hs6"), ("8701.21", "870121", "classified_hs6_dotted"), ("8708", "870800", "classified_hs4_only"), ("999999", "999999", "unclassifiable"), ("8708991234", "870899", "classified_hs6"), ("87089", None, "parse_failed"), ("no idea", None, "parse_failed")]
-
-
-@query(_values_sql(_ANSWERS, "response, code, status"))
-def q_response_parse(spark, sf_dir):
-    code, status = hs.parse_response(F.col("response"))
-    return values(spark, [(a,) for a, _, _ in _ANSWERS], "response string").select("response", code.alias("code"), status.alias("status"))
-
-
-_BOLS = [(2018020000000, True), (1000000, True), (123456000000, True), (0, True), (2018010397391, False), (2018040647536, False), (100000, False), (1234567000000, False)]
-
-
-@query(_values_sql(_BOLS, "identifier, sentinel"))
-def q_sentinel_ids(spark, sf_dir):
-    return values(spark, [(a,) for a, _ in _BOLS], "identifier long").withColumn("sentinel", hs.is_sentinel_identifier(F.col("identifier")))
-
-
-_TEXTS = [("CHAIN HS CODE: 8432.90", "8432.90"), ("PO 17049065 HS CODE 200980", "170490"), ("HTS 843120", None), ("HS CODE(S) 34022020", None), ("hs-code 870899 parts", "870899")]
-
-
-@query(_values_sql(_TEXTS, "body, code"))
-def q_hs_from_text(spark, sf_dir):
-    return values(spark, [(a,) for a, _ in _TEXTS], "body string").withColumn("code", hs.hs_from_text(F.col("body")))
-
-
 # B8, C9, G1, H15, D11, H19
 
 
@@ -478,8 +370,8 @@ def q_quality_checks(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_windowed_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+    w = incremental.windowed_counts(e, "ts", ["event_type"])
+    return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @query("""SELECT l_suppkey, string_agg('  Candidate ' || rank::VARCHAR || '. ' || p_brand || ' (' || n::VARCHAR || ')', chr(10) ORDER BY rank) AS block FROM (SELECT l_suppkey, p_brand, n, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, p_brand) AS rank
@@ -508,8 +400,8 @@ _FLAGS = ("F", "O", "P")
 
 @query(f"SELECT o_orderpriority, {', '.join(f'count(*) FILTER (o_orderstatus = {chr(39)}{s}{chr(39)}) AS {s.lower()}' for s in _FLAGS)} FROM orders GROUP BY ALL")
 def q_contingency(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", list(_FLAGS)).agg(F.count(F.lit(1)))
-    return t.select("o_orderpriority", *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in _FLAGS])
+    t = profile.contingency(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", _FLAGS)
+    return t.select("o_orderpriority", *[F.col(s).alias(s.lower()) for s in _FLAGS])
 
 
 @query("SELECT count(*) AS total_queries, round(quantile_cont(value, 0.5), 6) AS p50_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, round(avg(user_id), 6) AS avg_cost_credits_estimate, round(avg(user_id) * 2.0, 6) AS avg_cost_usd_estimate FROM events")
@@ -521,16 +413,6 @@ def q_trace_stats(spark, sf_dir):
     return s.select("total_queries", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
-_CALLS = [('[{"tool_name": "a", "arguments": {}}, {"tool_name": "b"}]',), ('[{"tool_name": "a"}]',), ("[]",), (None,)]
-
-
-@query("SELECT * FROM (VALUES ('a', 2::BIGINT), ('b', 1)) t(tool_name, n_calls)")
-def q_tool_usage(spark, sf_dir):
-    from portolan.plans import serving
-
-    return serving.tool_usage_breakdown(values(spark, _CALLS, "tool_calls string"))
-
-
 @query(f"""WITH {_SHIP_SQL}, m AS (SELECT chapter, avg(CASE WHEN general > 0 THEN general / 100 END) AS rate FROM ship GROUP BY ALL)
   SELECT consignee, count(*) AS n, round(sum(value), 2) AS value, round(sum(value * coalesce(rate, 0)), 2) AS exposure FROM ship LEFT JOIN m USING (chapter) GROUP BY ALL""")
 def q_naive_exposure(spark, sf_dir):
@@ -627,16 +509,3 @@ def q_semantic_9(spark, sf_dir):
 def q_semantic_10(spark, sf_dir):
     g = _semantic(spark, sf_dir, "total_shipments", "c_name p_brand s_name", [("p_type", "=", "PROMO")])
     return rel.count_distinct_over(g, ["c_name", "p_brand"], "s_name", "k").filter("k = 1").drop("k")
-
-
-def entry(spark: SparkSession) -> DataFrame:
-    """The concentration mart on the smallest tables."""
-    return q_concentration_mart(spark, "/root/testdata/sf0.001")
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

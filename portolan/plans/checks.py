@@ -57,6 +57,8 @@ class Check:
     kind: str
     run: Callable[[dict[str, DataFrame]], DataFrame]
     severity: str = "error"
+    values: tuple = ()
+    parent: tuple[str, str] | tuple[()] = ()
 
     @property
     def name(self) -> str:
@@ -77,7 +79,7 @@ def suite() -> list[Check]:
                 f = lambda t, table=table, column=column, values=values: accepted_values(t[table], column, values)
             else:
                 f = lambda t, table=table, column=column, parent=parent: relationships(t[table], column, t[parent[0]], parent[1])
-            out.append(Check(table, column, k, f, severity if k == "related" else "error"))
+            out.append(Check(table, column, k, f, severity if k == "related" else "error", tuple(values or ()) if k == "accepted" else (), parent or () if k == "related" else ()))
 
     for p in ("supplier", "consignee"):
         add(f"silver_{p}_golden", f"golden_{p}_id", "unique not_null")

@@ -13,6 +13,7 @@ from portolan.functions.vector import cosine, embed
 from portolan.operators.components import connected_components
 from portolan.operators.relational import blocking_pairs, top_by
 from portolan.session import ship_code
+from portolan.sources.tables import append_new
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,13 @@ def name_normalized(bol: DataFrame, party: Party) -> DataFrame:
     )
 
 
-def embedded(names: DataFrame, party: Party, embedder=None) -> DataFrame:
-    """(norm, embedding) of distinct normalized names of three characters or more."""
+def embedded(names: DataFrame, party: Party, embedder=None, path: str | None = None) -> DataFrame:
+    """(norm, embedding) of distinct normalized names of three characters or more. With ``path``, names that the table there has are never embedded again."""
     ship_code(names.sparkSession)
     n = f"{party.prefix}_name_norm"
-    return names.select(n).filter(F.length(n) >= 3).distinct().withColumn("embedding", embed(embedder)(F.col(n)))
+    rows = names.select(n).filter(F.length(n) >= 3).distinct()
+    made = lambda new: new.withColumn("embedding", embed(embedder)(F.col(n)))
+    return made(rows) if path is None else append_new(rows, path, [n], made)
 
 
 def pair_candidates(names: DataFrame, party: Party, dedupe: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from portolan.functions.country import port_suffix
 from portolan.functions.hs import SIX, ad_valorem_rate
 from portolan.functions.text import eda_canon, full_match, keyword_count, token_set_ratio
 from portolan.operators.relational import exact_sample, running_share, top_by
+from portolan.session import ship_code
 from portolan.sources.tables import load_summary
 
 RISK_WORDS = ("tariff", "supply chain", "china", "import", "duties", "trade war", "sourcing", "single source", "customs", "mexico", "vietnam", "section 301")
@@ -64,6 +65,12 @@ def name_variants(df: DataFrame, name: str, most: int = 20) -> DataFrame:
     return d.groupBy("canon").agg(F.count("*").alias("n_variants"), F.array_sort(F.collect_list(name)).alias("variants")).orderBy(F.desc("n_variants"), "canon").limit(most)
 
 
+def contingency(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
+    """How often each value of ``row`` occurs with each of ``values``; 0 where never."""
+    t = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
+    return t.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias(v) for v in values])
+
+
 def top_values(df: DataFrame, value: Column, n: int = 15, name: str = "value") -> DataFrame:
     return df.groupBy(value.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(name).asc_nulls_last()).limit(n)
 
@@ -112,19 +119,20 @@ def chapter_rates(hts: DataFrame) -> DataFrame:
 
 
 def risk_density(filings: DataFrame, text: str, key: str, keywords: Sequence[str] = RISK_WORDS) -> DataFrame:
-    """Per text the count of each risk word and all of them per 10,000 characters, the densest first."""
+    """Per text the count of each risk word, and of all of them per 10,000 characters."""
     names = [w.replace(" ", "_") for w in keywords]
     df = filings.select(key, F.length(text).cast("long").alias("n_chars"), *[keyword_count(F.col(text), w).alias(n) for w, n in zip(keywords, names)])
     total = sum((F.col(n) for n in names), F.lit(0))
-    return df.withColumn("total", total.cast("long")).withColumn("per_10k", F.col("total") * 10000.0 / F.nullif(F.col("n_chars"), F.lit(0))).orderBy(F.col("per_10k").desc_nulls_last(), key)
+    return df.withColumn("total", total.cast("long")).withColumn("per_10k", F.col("total") * 10000.0 / F.nullif(F.col("n_chars"), F.lit(0)))
 
 
-def fuzzy_companies(names: DataFrame, name: str, companies: DataFrame, company: str, least: float = 85.0) -> DataFrame:
+def fuzzy_companies(names: DataFrame, name: str, companies: DataFrame, company: str, least: float = 85.0, fold: bool = False) -> DataFrame:
     """The best company for each name by token-set ratio, if that is at least ``least``. Companies are a short list and are broadcast after a look at their number."""
+    ship_code(names.sparkSession)
     small = companies.select(company)
     if small.limit(100_001).count() <= 100_000:
         small = F.broadcast(small)
-    pairs = names.select(name).distinct().crossJoin(small).withColumn("ratio", token_set_ratio(F.col(name), F.col(company)))
+    pairs = names.select(name).distinct().crossJoin(small).withColumn("ratio", token_set_ratio(F.col(name), F.col(company), fold))
     return top_by(pairs.filter(F.col("ratio") >= least), [name], [F.desc("ratio"), F.col(company).asc()])
 
 

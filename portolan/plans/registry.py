@@ -18,19 +18,20 @@ class Stage:
     inputs: tuple[str, ...]
     build: Callable[..., DataFrame]
     stored: bool = True
+    kept: bool = False
 
 
 @dataclass
 class Registry:
     stages: dict[str, Stage] = field(default_factory=dict)
 
-    def stage(self, name: str, layer: str, inputs: Iterable[str] = (), stored: bool = True):
-        """Register a function of its inputs' DataFrames. A stage that isn't stored stays lazy."""
+    def stage(self, name: str, layer: str, inputs: Iterable[str] = (), stored: bool = True, kept: bool = False):
+        """Register a function of its inputs' DataFrames. A stage that isn't stored stays lazy; one that is kept gets the ``path`` of its table and adds to it what is new."""
 
         def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             if name in self.stages:
                 raise ValueError(f"two stages are called {name}")
-            self.stages[name] = Stage(name, layer, tuple(inputs), f, stored)
+            self.stages[name] = Stage(name, layer, tuple(inputs), f, stored, kept)
             return f
 
         return add
@@ -49,13 +50,16 @@ class Registry:
         return list(TopologicalSorter(graph).static_order())
 
     def run(self, spark: SparkSession, sources: dict[str, DataFrame], root: str | None = None, targets: Iterable[str] | None = None) -> dict[str, DataFrame]:
-        """Every table by name. With ``root``, stored stages are written to root/layer/name and read back, which cuts the lineage."""
+        """Every table by name. With ``root``, stored stages are written to root/layer/name and read back, which cuts the lineage; a later run finds the kept ones there."""
         tables = dict(sources)
         for name in self.order(targets):
             s = self.stages[name]
             missing = [i for i in s.inputs if i not in tables]
             if missing:
                 raise KeyError(f"{name} needs {', '.join(missing)}")
+            if root and s.kept:
+                tables[name] = s.build(*[tables[i] for i in s.inputs], path=f"{root}/{s.layer}/{name}")
+                continue
             df = s.build(*[tables[i] for i in s.inputs])
             tables[name] = replace_table(df, f"{root}/{s.layer}/{name}") if root and s.stored else df
         return tables
@@ -72,8 +76,8 @@ def full_registry(embedder=None, completer=None) -> Registry:
     for party in entities.PARTIES.values():
         p = party.name
         r.stage(f"int_{p}_name_normalized", "silver", ["bronze_bol"])(lambda b, party=party: entities.name_normalized(b, party))
-        r.stage(f"int_{p}_embedded", "silver", [f"int_{p}_name_normalized"])(lambda n, party=party: entities.embedded(n, party, embedder))
-        r.stage(f"int_{p}_pair_candidates", "silver", [f"int_{p}_name_normalized"], stored=False)(lambda n, party=party: entities.pair_candidates(n, party))
+        r.stage(f"int_{p}_embedded", "silver", [f"int_{p}_name_normalized"], kept=True)(lambda n, path=None, party=party: entities.embedded(n, party, embedder, path))
+        r.stage(f"int_{p}_pair_candidates", "silver", [f"int_{p}_name_normalized"], stored=False)(lambda n, party=party: entities.pair_candidates(n, party, dedupe=True))
         r.stage(f"int_{p}_pair_scored", "silver", [f"int_{p}_pair_candidates", f"int_{p}_embedded"])(lambda c, e, party=party: entities.pair_scored(c, e, party))
         r.stage(f"int_{p}_golden_map", "silver", [f"int_{p}_name_normalized", f"int_{p}_pair_scored"])(lambda n, s, party=party: entities.golden_map(n, s, party))
         r.stage(f"silver_{p}_golden", "silver", [f"int_{p}_golden_map"])(lambda m, party=party: entities.golden(m, party))
@@ -81,7 +85,7 @@ def full_registry(embedder=None, completer=None) -> Registry:
     r.stage("int_product_text_universe", "silver", ["silver_bol_shipments"])(lambda s: classify.product_text_universe(s, embedder))
     r.stage("int_hts_embedded", "silver", ["bronze_hts"])(lambda h: classify.hts_embedded(h, embedder))
     r.stage("int_hs_candidates", "silver", ["int_product_text_universe", "int_hts_embedded"])(classify.hs_candidates)
-    r.stage("int_hs_classified_raw", "silver", ["int_hs_candidates"])(lambda c: classify.classified_raw(c, completer))
+    r.stage("int_hs_classified_raw", "silver", ["int_hs_candidates"], kept=True)(lambda c, path=None: classify.classified_raw(c, completer, path))
     r.stage("int_hs_classified", "silver", ["int_hs_classified_raw"])(classify.classified)
     r.stage("silver_bol_shipments_classified", "silver", ["silver_bol_shipments", "int_hs_classified"])(classify.shipments_classified)
     r.stage("silver_bol_shipments_scoped", "silver", ["silver_bol_shipments_classified"])(classify.shipments_scoped)

@@ -18,6 +18,7 @@ from portolan.session import ship_code
 from portolan.sources.tables import append_new, read_if_exists, replace_table
 
 K1, B = 1.2, 0.75
+BUCKETS = 64  # of words; a query reads those of its own words
 
 
 def words(text):
@@ -26,17 +27,24 @@ def words(text):
 
 @dataclass
 class SearchIndex:
-    """Documents with their vectors and lengths, and postings (word, key, tf)."""
+    """Documents with their vectors and lengths, and postings (bucket, word, key, tf)."""
 
     documents: DataFrame
     postings: DataFrame
     key: str
     text: str
     embedder: object = None
+    _size: tuple[int, float] | None = None
+
+    def size(self) -> tuple[int, float]:
+        """Documents and their mean length in words, counted once for each index."""
+        if self._size is None:
+            n, mean = self.documents.agg(F.count("*"), F.avg("n_words")).first()
+            self._size = n, mean or 0.0
+        return self._size
 
     def search(self, query: str, k: int = 10, columns: Sequence[str] | None = None, eq: dict[str, object] | None = None, blend: float = 0.5) -> DataFrame:
         """The ``k`` best rows with ``score``; ties by key. ``eq``: attributes with the values they must have."""
-        spark = self.documents.sparkSession
         docs = self.documents
         for name, value in (eq or {}).items():
             docs = docs.filter(F.col(name) == F.lit(value))
@@ -45,12 +53,12 @@ class SearchIndex:
         qv = F.array(*[F.lit(float(x)) for x in vec])
         cos = F.coalesce(dot(F.col("embedding"), qv), F.lit(0.0))
         if terms:
-            size = self.documents.agg(F.count("*").alias("__n"), F.avg("n_words").alias("__avg"))
-            hits = self.postings.filter(F.col("word").isin(terms))
-            df = hits.groupBy("word").agg(F.count("*").alias("__df"))
-            weighed = hits.join(F.broadcast(df), "word").crossJoin(F.broadcast(size))
-            idf = F.log1p((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
-            part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("__avg")))
+            n, mean = self.size()
+            hits = self.postings.filter(F.col("bucket").isin([_bucket(F.lit(t)) for t in terms]) & F.col("word").isin(terms))
+            df = hits.groupBy("word").agg(F.count("*").alias("__df"))  # a row for each word of the query
+            weighed = hits.join(F.broadcast(df), "word")
+            idf = F.log1p((F.lit(float(n)) - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
+            part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(mean or 1.0)))
             bm = weighed.groupBy(self.key).agg(F.sum(part).alias("bm25"))
             docs = docs.join(bm, self.key, "left")
         else:
@@ -66,8 +74,13 @@ def _index_rows(docs: DataFrame, text: str, embedder) -> DataFrame:
     return docs.withColumn("embedding", embed(embedder)(F.col(text))).withColumn("n_words", F.size(words(F.col(text))).cast("long"))
 
 
+def _bucket(word):
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
 def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, "n_words", F.explode(words(F.col(text))).alias("word")).groupBy(key, "n_words", "word").agg(F.count("*").alias("tf"))
+    counted = docs.select(key, "n_words", F.explode(words(F.col(text))).alias("word")).groupBy(key, "n_words", "word").agg(F.count("*").alias("tf"))
+    return counted.withColumn("bucket", _bucket(F.col("word")))
 
 
 def build_index(docs: DataFrame, key: str, text: str, path: str | None = None, embedder=None) -> SearchIndex:
@@ -80,7 +93,7 @@ def build_index(docs: DataFrame, key: str, text: str, path: str | None = None, e
     before = read_if_exists(spark, f"{path}/documents")
     fresh = docs.dropDuplicates([key]) if before is None else docs.dropDuplicates([key]).join(before.select(key), key, "left_anti")
     stored = replace_table(_index_rows(fresh, text, embedder), f"{path}/fresh")
-    append_new(_postings(stored, key, text), f"{path}/postings", [key, "word"])
+    append_new(_postings(stored, key, text), f"{path}/postings", [key, "word"], partition_by=["bucket"])
     rows = append_new(stored, f"{path}/documents", [key])
     return SearchIndex(rows, spark.read.parquet(f"{path}/postings"), key, text, embedder)
 

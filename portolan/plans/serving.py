@@ -36,7 +36,7 @@ def concentration_heatmap(fact: DataFrame, consignees: DataFrame, top_n: int = 3
 
 def supplier_breakdown_for_cell(mart: DataFrame, codes: DataFrame, consignees: DataFrame, consignee_name: str, hs_2: str) -> DataFrame:
     own = consignees.filter(F.col("consignee_name") == F.lit(consignee_name)).select("consignee_key")
-    rows = mart.filter(F.left("hs_6", F.lit(2)) == F.lit(hs_2)).join(F.broadcast(own), "consignee_key").join(codes.select("hs_6", "hs_6_description"), "hs_6")
+    rows = mart.filter(F.left("hs_6", F.lit(2)) == F.lit(hs_2)).join(own, "consignee_key").join(codes.select("hs_6", "hs_6_description"), "hs_6")
     return rows.select("hs_6", "hs_6_description", F.col("total_shipment_count").alias("shipment_count"), "supplier_count", F.round("supplier_hhi", 3).alias("supplier_hhi_hs6"), "is_single_source").orderBy(F.desc("shipment_count"), "hs_6")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portolan.sources.tables import append_new, upsert
+from portolan.sources.tables import append_new, upsert_latest
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", per_trigger: int | None = None, **options: str) -> DataFrame:
@@ -24,10 +24,8 @@ def append_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint:
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, latest: str):
-    """Keep the latest row of each key in the table at ``path``."""
-    from portolan.operators.relational import latest_by
-
-    return stream.writeStream.foreachBatch(lambda df, _: upsert(latest_by(df, keys, latest), path, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep the latest row of each key in the table at ``path``, in whatever order rows come. Each batch rewrites the table."""
+    return stream.writeStream.foreachBatch(lambda df, _: upsert_latest(df, path, keys, latest) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedup_within(stream: DataFrame, time: str, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,8 +93,31 @@ def test_text_tools(spark):
     html = "<html><script>var t='</p>';</script><style>p{}</style><ix:header>h</ix:header><p>A &amp; B&nbsp;C</p>\n\n<br>D&#8217;s</html>"
     assert apply(spark, text.strip_html, [html]) == ["A & B C\nD's"]
     assert apply(spark, text.eda_canon, ["The Acme, Inc. & Co"]) == ["the acme inc co"[:15]]
-    df = spark.createDataFrame([("Nike Inc", "INC NIKE", 100.0), ("fuzzy was a bear", "fuzzy fuzzy was a bear", 100.0), ("abc", "xyz", 0.0), ("", "a", 0.0)], "a string, b string, w double")
-    assert [r[0] for r in df.select(text.token_set_ratio(F.col("a"), F.col("b"))).collect()] == [100.0, 100.0, 0.0, 0.0]
+    pairs = [("Nike Inc", "INC NIKE", 100.0), ("fuzzy was a bear", "fuzzy fuzzy was a bear", 100.0), ("abc", "xyz", 0.0), ("", "a", 0.0), (None, "a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string, w double")
+    assert [r[0] for r in df.select(text.token_set_ratio(F.col("a"), F.col("b"), fold=True)).collect()] == [w for *_, w in pairs]
+    assert df.select(text.token_set_ratio(F.col("a"), F.col("b"))).first()[0] < 40  # case counts
+
+
+def test_token_set_ratio_by_definition():
+    """Twice the longest common subsequence over both lengths, by the table of all prefixes."""
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    ratio = lambda a, b: 200.0 * lcs(a, b) / (len(a) + len(b))
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = (" ".join(r.choice(["acme", "acne", "corp", "co", "of", "the", "toys", "inc."]) for _ in range(r.randint(1, 5))) for _ in range(2))
+        both, one, two = sorted(set(a.split()) & set(b.split())), sorted(set(a.split()) - set(b.split())), sorted(set(b.split()) - set(a.split()))
+        common, left, right = " ".join(both), " ".join(both + one), " ".join(both + two)
+        # The wholes begin alike, so what they have in common is that and the rest's.
+        want = max([100.0] if both and (not one or not two) else [ratio(left, right), *([ratio(common, left), ratio(common, right)] if both else [])])
+        assert abs(text._set_ratio(a, b) - want) < 1e-9, (a, b)
 
 
 def test_full_match_is_whole(spark):

@@ -55,6 +55,22 @@ def test_spanning_forest(edges):
     assert dict(zip(f["a"], f["b"])) == {k: v for k, v in want.items() if k != v}
 
 
+def test_edges_are_contracted_once_and_again(monkeypatch):
+    """Work grows with the edges, not with the batches they come in."""
+    import pandas as pd
+
+    from portolan.operators import components as C
+
+    monkeypatch.setattr(C, "FOREST_STEP", 100)
+    seen = []
+    monkeypatch.setattr(C, "spanning_forest", lambda pdf: seen.append(len(pdf)) or spanning_forest(pdf))
+    r = np.random.default_rng(1)
+    edges = pd.DataFrame(r.integers(0, 3000, (20_000, 2)), columns=["a", "b"]).query("a != b")
+    out = list(C._contract(edges.iloc[k : k + 50] for k in range(0, len(edges), 50)))
+    assert len(out) == 1 and sum(seen) < 3 * len(edges) + 1000
+    assert dict(zip(out[0]["a"], out[0]["b"])) == {k: v for k, v in brute_components(edges.itertuples(index=False, name=None)).items() if k != v}
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, "2020", "a"), (1, "2021", "b"), (2, None, "c"), (2, "2021", "d"), (3, "2020", "y"), (3, "2020", "x"), (None, "1", "p"), (None, "2", "q")], "k int, t string, v string")
     assert sorted(r["v"] for r in rel.latest_by(df, ["k"], "t").collect()) == ["b", "c", "q", "x"]
@@ -135,6 +151,8 @@ def test_top_k(spark, limit):
     r = np.random.default_rng(0)
     q, x = r.normal(size=(40, 8)), r.normal(size=(90, 8))
     x[5] = x[3]
+    x[40:75] = x[40]  # more equal ones than are looked at at first
+    q[1] = x[40]
     q[0] = x[3]
     queries = spark.createDataFrame([(i, v.tolist(), None if i else 2**60 + 1) for i, v in enumerate(q)] + [(99, None, 1)], "q long, a array<double>, big long")
     refs = spark.createDataFrame([(f"{i:03d}", v.tolist(), f"d{i}") for i, v in enumerate(x)] + [("zzz", None, "none")], "code string, v array<double>, d string")

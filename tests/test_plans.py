@@ -334,7 +334,7 @@ def test_profile(spark, world):
     assert [tuple(x) for x in profile.footnote_flags(notes).collect()] == [("9903.88", 1)]
     d = profile.risk_density(world["bronze_10k"], "item_1a_text", "ticker").first()
     assert d["ticker"] in ("NKE", "ZZZ") and d["tariff"] == 300
-    fuzzy = profile.fuzzy_companies(b.filter("consignee_name is not null"), "consignee_name", spark.createDataFrame(gold.company_rows(), "ticker string, company string"), "company").collect()
+    fuzzy = profile.fuzzy_companies(b.filter("consignee_name is not null"), "consignee_name", spark.createDataFrame(gold.company_rows(), "ticker string, company string"), "company", fold=True).collect()
     assert {x["consignee_name"]: x["company"] for x in fuzzy}["NIKE, INC."] == "Nike, Inc."
     e = profile.naive_exposure(b, h, "consignee_name").first()
     assert e["consignee_name"] == "NIKE, INC." and e["exposure"] == pytest.approx(e["value"] * 0.0125)
@@ -350,6 +350,24 @@ def test_raw_checks_and_config(world, tmp_path):
     assert filings.load_ticker_config(str(p))["Y"] == {"cik": "12", "filing_type": "10-K"}
 
 
+def test_kept_stages_ask_once(spark, tmp_path):
+    """A second run of the pipeline embeds and asks for what is new alone."""
+
+    def counted(batch):
+        with open(tmp_path / "asked", "a") as f:
+            f.write("x" * len(batch))
+        return ["999999"] * len(batch)
+
+    r = Registry()
+    r.stage("raw", "silver", ["texts"], kept=True)(lambda t, path=None: classify.classified_raw(t, counted, path))
+    schema = "product_text string, rank int, hs6 string, sim double, hts_description string"
+    for texts, n in ((["a", "b"], 2), (["a", "b"], 2), (["b", "c"], 3)):
+        out = r.run(spark, {"texts": spark.createDataFrame([(t, 1, "870899", 0.5, "d") for t in texts], schema)}, str(tmp_path / "root"))
+        assert out["raw"].count() == n and len((tmp_path / "asked").read_text()) == n
+    full = full_registry()
+    assert {n for n, s in full.stages.items() if s.kept} == {"int_supplier_embedded", "int_consignee_embedded", "int_hs_classified_raw"}
+
+
 def test_registry():
     r = Registry()
     r.stage("b", "x", ["a"])(lambda a: a)
@@ -448,3 +466,22 @@ def test_tables(spark, tmp_path):
     assert s == [("x", 2, "a", "b"), ("y", 2, None, None)]
     tables.create_layers(spark)
     assert {"raw", "bronze", "silver", "gold", "semantic"} <= {d.name for d in spark.catalog.listDatabases()}
+
+
+def test_null_keys_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(None, "a", 1), (1, "b", 2), (None, None, 3)], "k long, j string, v int")
+    for _ in range(3):
+        tables.append_new(rows, path, ["k", "j"])
+    assert spark.read.parquet(path).count() == 3
+    tables.upsert(spark.createDataFrame([(None, "a", 9)], "k long, j string, v int"), path, ["k", "j"])
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2, 3, 9]
+
+
+def test_a_writer_that_ends_half_way_leaves_the_old_table(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.replace_table(spark.range(3), str(path))
+    path.rename(tmp_path / "t.before")  # the state between the two moves
+    assert tables.read_if_exists(spark, str(path)).count() == 3
+    path.rename(tmp_path / "t.before")
+    assert tables.replace_table(spark.range(5), str(path)).count() == 5 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]

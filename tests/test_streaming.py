@@ -22,6 +22,14 @@ def test_append_and_upsert_streams(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(up).collect()) == [(1, "a"), (2, "B"), (3, "c")]
 
 
+def test_older_rows_that_come_late_replace_nothing(spark, tmp_path):
+    src, up = str(tmp_path / "src"), str(tmp_path / "up")
+    for batch in ([(1, at(0), "new"), (None, at(0), "none")], [(1, at(-300), "old"), (None, at(5), "later")]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        inc.upsert_stream(inc.read_files(spark, src, SCHEMA), up, ["k"], str(tmp_path / "c"), "t").awaitTermination()
+    assert sorted((str(r["k"]), r["v"]) for r in spark.read.parquet(up).collect()) == [("1", "new"), ("None", "later")]
+
+
 def test_windows_and_late_rows(spark, tmp_path):
     src = str(tmp_path / "s")
     for i, batch in enumerate([[(1, at(0), "x"), (2, at(10), "x"), (2, at(10), "x")], [(3, at(300), "x")], [(6, at(310), "x")], [(4, at(1), "late")], [(5, at(600), "x")]]):
