@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.tokens import BYTES, BYTES_END, ship_model, tokenizer
-from portolan.session import materialize, ship_code
+from portolan.session import arrow_batches, materialize, ship_code
 
 SCHEMA = "window_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, token_ids array<int>"
 #: Within pandas, ids are texts: as numbers, a null among them would make them floats and cut off long ones.
@@ -30,6 +31,7 @@ class PackParams:
     window: int = 2048
     open_windows: int = 64
     fan_in: int = 64  # partitions whose leftovers are merged by one task
+    batch_rows: int = 1000  # documents that a Python worker holds at once
     model_path: str = BYTES
     end_id: int = BYTES_END
 
@@ -77,6 +79,17 @@ def _frame(windows: list[tuple[int, list, bool]], part: int, level: int, first:
     })
 
 
+def _batch(windows: list[tuple[int, list, bool]], part: int, first: int) -> pa.RecordBatch:
+    """The same for closed windows as they come, without an object for each id."""
+    flat = [s for _, segments, _ in windows for s in segments]
+    at = pa.array(np.cumsum([0] + [len(segments) for _, segments, _ in windows]), pa.int32())
+    lists = [pa.ListArray.from_arrays(at, pa.array([s[j] for s in flat], kind)) for j, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [n for n, _, _ in windows]), pa.int32()), pa.array(np.concatenate([s[3] for s in flat])))
+    ids = pa.array([(part << 32) | (first + i) for i in range(len(windows))], pa.int64())
+    count, opened = pa.array([n for n, _, _ in windows], pa.int64()), pa.array([o for _, _, o in windows])
+    return pa.RecordBatch.from_arrays([ids, count, *lists, tokens, pa.array([part] * len(windows), pa.int64()), opened], ["window_id", "n_tokens", "doc_ids", "starts", "lengths", "token_ids", "part", "open"])
+
+
 def _merger(p: PackParams, level: int, last: bool):
     """Packs one group's leftovers, largest first; but for the last level the emptiest windows stay open."""
 
@@ -108,12 +121,12 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
     ship_code(docs.sparkSession)
     model = ship_model(docs.sparkSession, p.model_path)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, made, encode = Packer(p.window, p.open_windows), 0, tokenizer(*model.value).encode
-        for pdf in batches:
+        for batch in batches:
             closed = []
-            for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
+            for k, t in zip(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1))):
                 if not t or not t.strip():
                     continue
                 ids = np.array([*encode(t), p.end_id], np.int32)
@@ -121,18 +134,19 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
                     piece = ids[start : start + p.window]
                     closed += [(m, s, False) for m, s in packer.place(len(piece), [(k, start, len(piece), piece)])]
                 if len(closed) >= 256:
-                    yield _frame(closed, part, 0, made)
+                    yield _batch(closed, part, made)
                     made += len(closed)
                     closed = []
             if closed:
-                yield _frame(closed, part, 0, made)
+                yield _batch(closed, part, made)
                 made += len(closed)
         left = [(m, s, True) for m, s in packer.rest()]
         if left:
-            yield _frame(left, part, 0, made)
+            yield _batch(left, part, made)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t"))
-    staged = materialize(rows.mapInPandas(fill, _STAGED), "pack-windows")
+    with arrow_batches(docs.sparkSession, p.batch_rows):
+        staged = materialize(rows.mapInArrow(fill, _STAGED), "pack-windows")
     out = staged.filter("not open")
     parts = (staged.agg(F.max("part")).first()[0] or 0) + 1
     level = 0
