@@ -126,7 +126,7 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), text: str = "text",
         packer, made, encode = Packer(p.window, p.open_windows), 0, tokenizer(*model.value).encode
         for batch in batches:
             closed = []
-            for k, t in zip(batch.column(0).to_pylist(), map(pa.Scalar.as_py, batch.column(1))):
+            for k, t in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
                 if not t or not t.strip():
                     continue
                 ids = np.array([*encode(t), p.end_id], np.int32)
