@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from portolan.functions import country, hs, text
 from portolan.functions.vector import LetterCounts
 from portolan.operators.relational import exact_sample
-from portolan.plans import checks, classify, search, semantic
+from portolan.plans import agent, checks, classify, search, semantic
 from portolan.plans.queries import query, table
 from portolan.plans.scenario import CANONICAL, simulate_as_json
 from portolan.plans.world import _RATE, _cases, _country_sql, _has, _port_sql, _q, sql, world
@@ -112,10 +112,14 @@ _SUBMISSION = f"""SELECT doc_id, 'edgar/0000' || lpad(CAST(doc_id AS STRING), 6,
 
 
 @query(f"""WITH x AS (SELECT doc_id, trim({_BODY}) AS body FROM documents) SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 7000 + doc_id END::VARCHAR AS cik, make_date(2016, 3, (1 + doc_id % 28)::INT) AS filing_date, CASE WHEN doc_id % 5 = 0 THEN '20-F' ELSE '10-K' END AS filing_type,
-  md5(body) AS item_1a_md5, length(body) AS item_1a_length, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'money' END AS item_7_text FROM x WHERE length(body) >= 5000""")
+  md5(body) AS item_1a_md5, length(body) AS item_1a_length, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'money' END AS item_7_text FROM x WHERE length(body) >= 5000 AND doc_id % 10 = 0""")
 def p_filings(spark, sf_dir):
-    x = _made(spark, sf_dir, "documents", _SUBMISSION.replace("{{{{}}}}", "{{}}"))
-    out = filings.long_enough(filings.parse_filings(x.select("path", "submission", "ticker", "filing_type")))
+    """A file for each submission, in a folder called after its accession."""
+    x = _made(spark, sf_dir, "documents", _SUBMISSION.replace("{{{{}}}}", "{{}}")).filter("doc_id % 10 = 0")
+    path = new_table_path(spark, "probe-filings")
+    x.select(F.regexp_extract("path", "[0-9]{10}-16-[0-9]{6}", 0).alias("accession"), "submission").repartition(16, "accession").write.partitionBy("accession").text(path)
+    read = filings.read_submissions(spark, path).withColumn("ticker", F.lit("NKE")).withColumn("filing_type", F.when(F.col("submission").contains("<TYPE>20-F"), "20-F").otherwise("10-K"))
+    out = filings.long_enough(filings.parse_filings(read))
     return out.select("cik", "filing_date", "filing_type", F.md5("item_1a_text").alias("item_1a_md5"), "item_1a_length", "item_7_text")
 
 
@@ -229,6 +233,30 @@ def p_scenarios(spark, sf_dir):
     return scenario_frame(spark).select("scenario_name", "additional_rate_pp", F.array_join("hs_chapters", ",").alias("chapters"), F.array_join("origin_countries", ",").alias("origins"))
 
 
+_TOLD = ["top 5 consignees by landed cost", "Show Nike shipments from China", "Which suppliers are German and ship chapter 84?", "How concentrated are Walmart's suppliers?", "single-sourced consignees in chapter 87"]
+_WHAT_IF = "What would happen if tariffs on China rise 10 points for Nike?"
+_ANSWERED = f"""SELECT 0 AS question, consignee_name AS label, round(x, 2) AS value FROM (SELECT consignee_name, sum(estimated_landed_cost_usd) AS x FROM fact f LEFT JOIN dim_consignee c USING (consignee_key) GROUP BY ALL ORDER BY x DESC NULLS LAST, consignee_name LIMIT 5)
+  UNION ALL SELECT 1, consignee_name, round(sum(estimated_landed_cost_usd), 2) FROM fact JOIN dim_consignee USING (consignee_key) WHERE contains(upper(consignee_name), 'NIKE') AND origin_country_code = 'CN' GROUP BY consignee_name
+  UNION ALL SELECT * FROM (SELECT 2, supplier_name || '|' || supplier_country_code, count(*)::DOUBLE FROM fact JOIN dim_supplier USING (supplier_key) JOIN dim_hs_code USING (hs_6) WHERE hs_2 = '84' AND supplier_country_code = 'DE' GROUP BY supplier_name, supplier_country_code ORDER BY count(*) DESC, supplier_name LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 3, consignee_name || '|' || hs_2, round(max(supplier_hhi), 2) FROM mart JOIN dim_consignee USING (consignee_key) LEFT JOIN dim_hs_code USING (hs_6) WHERE contains(upper(consignee_name), 'WALMART') GROUP BY consignee_name, hs_2 ORDER BY max(supplier_hhi) DESC NULLS LAST, consignee_name, hs_2 LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 4, consignee_name || '|' || hs_6, round(max(supplier_hhi), 2) FROM mart JOIN dim_consignee USING (consignee_key) JOIN dim_hs_code USING (hs_6) WHERE hs_2 = '87' AND is_single_source GROUP BY consignee_name, hs_6 ORDER BY max(supplier_hhi) DESC NULLS LAST, consignee_name, hs_6 LIMIT 10)
+  UNION ALL SELECT 5, 'scenario', round(sum(CASE WHEN origin_country_code = 'CN' THEN shipment_value_usd * 0.1 ELSE 0 END), 2) FROM fact WHERE consignee_key = (SELECT consignee_key FROM dim_consignee WHERE contains(upper(consignee_name), 'NIKE') ORDER BY total_shipments DESC NULLS LAST, consignee_key LIMIT 1)"""
+
+
+@query(sql(_ANSWERED, "fact mart dim_consignee dim_supplier dim_hs_code"))
+def p_agent_answers(spark, sf_dir):
+    """What the agent's tools give for six questions: the first figure of each row, and what the scenario adds up to."""
+    a = agent.Agent(world(spark, sf_dir))
+    rows = []
+    for k, question in enumerate(_TOLD):
+        (call,) = agent.plan_question(question)
+        measure, names = call["arguments"]["metrics"][0], [d.rpartition(".")[2] for d in call["arguments"]["dimensions"]]
+        rows += [(k, "|".join(str(r[n]) for n in names), round(float(r[measure]), 2)) for r in a.call(call["tool_name"], call["arguments"])]
+    said = [a.call(c["tool_name"], c["arguments"]) for c in agent.plan_question(_WHAT_IF)][-1]
+    rows.append((len(_TOLD), "scenario", round(sum(r["delta_usd"] for r in said["rows"]), 2)))
+    return spark.createDataFrame(rows, "question int, label string, value double")
+
+
 #: The suite's tables in the world's SQL, with the columns that have other names there.
 _TABLES: dict[str, tuple[str, dict[str, str]]] = {"silver_bol_shipments": ("silver", {}), "silver_bol_shipments_classified": ("coded", {}), "silver_bol_shipments_scoped": ("scoped", {}), "fact_shipments": ("fact", {}), "mart_concentration_metrics": ("mart", {}), "mart_scenario_examples": ("scenarios", {})}
 _TABLES |= {t: (t, {}) for t in ("dim_supplier", "dim_consignee", "dim_hs_code", "dim_country", "dim_date", "tariff_events")}
