@@ -87,9 +87,10 @@ def eda_canon(col: Column) -> Column:
 
 
 def keyword_count(col: Column, word: str) -> Column:
-    """How often a literal occurs, case ignored."""
-    quoted = "(?i)" + "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
-    return F.coalesce(F.regexp_count(col, F.lit(quoted)), F.lit(0)).cast("long")
+    """How often a literal occurs, case ignored: by what its removal takes away, which is far cheaper than a pattern; the text is put in lower case once for all words."""
+    low = F.lower(col)
+    gone = F.length(low) - F.length(F.replace(low, F.lit(word.lower()), F.lit("")))
+    return F.coalesce((gone / len(word)).cast("long"), F.lit(0).cast("long"))
 
 
 def keyword_snippets(col: Column, word: str, around: int = 150, need: tuple[str, ...] = (), refuse: tuple[str, ...] = ()) -> Column:
