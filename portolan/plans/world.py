@@ -18,7 +18,7 @@ from portolan.plans import classify, entities, gold, profile, scenario, semantic
 from portolan.plans.queries import query, table
 from portolan.plans.registry import full_registry
 from portolan.session import new_table_path, ship_code
-from portolan.sources.tables import load_summary
+from portolan.sources.tables import exists, load_summary
 
 SOURCES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "documents", "events")
 
@@ -58,20 +58,21 @@ RAW = {
       CASE event_id % 4 WHEN 0 THEN '[{"tool_name": "a", "arguments": {}}, {"tool_name": "b"}]' WHEN 1 THEN '[{"tool_name": "' || event_type || '"}]' WHEN 2 THEN '[]' END AS tool_calls FROM events""",
 }
 
-_WORLDS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_WORLDS: dict[tuple[str, str], tuple[str, dict[str, DataFrame]]] = {}
 
 
 def world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Raw tables and the tables of all stages, built once for each session and folder of tables."""
+    """Raw tables and the tables of all stages, built once for each session and folder of tables, and again should their own folder be gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WORLDS:
+    if key not in _WORLDS or not exists(spark, _WORLDS[key][0]):
         ship_code(spark)
         for name in SOURCES:
             table(spark, sf_dir, name).createOrReplaceTempView(f"world_{name}")
         named = lambda s: re.sub(rf"\b(FROM|JOIN) ({'|'.join(SOURCES)})\b", r"\1 world_\2", s)
         raw = {name: spark.sql(named(s)) for name, s in RAW.items()}
-        _WORLDS[key] = full_registry(embedder=LetterCounts()).run(spark, raw, new_table_path(spark, "world"))
-    return _WORLDS[key]
+        root = new_table_path(spark, "world")
+        _WORLDS[key] = root, full_registry(embedder=LetterCounts()).run(spark, raw, root)
+    return _WORLDS[key][1]
 
 
 # The stages in SQL: {name: (what it needs, SELECT)}

@@ -20,6 +20,11 @@ def create_layers(spark: SparkSession) -> None:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
