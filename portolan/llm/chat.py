@@ -110,9 +110,11 @@ def split(source: str, trim_blocks: bool = False, lstrip_blocks: bool = False) -
         if inner[:1] == "-":
             text = text.rstrip()
         elif lstrip_blocks and kind != "{{" and inner[:1] != "+":
-            head, feed, last = text.rpartition("\n")
-            if not last.strip(" \t") and (feed or not out):
-                text = head + feed
+            line = m.start()
+            while line > at and source[line - 1] in " \t":
+                line -= 1
+            if line == 0 or source[line - 1] == "\n":
+                text = text[: max(0, len(text) - (m.start() - line))]
         out.append(("text", text))
         strip = inner[-1:] == "-"
         trim = trim_blocks and kind != "{{"
