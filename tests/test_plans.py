@@ -287,6 +287,17 @@ def test_response_parse():
     assert agent.parse_response({})["final_answer"] == "(no answer text returned)"
 
 
+def test_agent_rows_without_a_name(spark):
+    """Among equal figures missing names come last; a label of which one part is missing is null, as with SQL's ||; a missing figure stays missing."""
+    from portolan.plans.probes import _labelled
+
+    model = semantic.Model({"t": ("x",)}, [], [semantic.Dimension("t", n, n) for n in ("a", "b")], [semantic.Metric("t", "most", "max", "x")])
+    t = spark.createDataFrame([("p", None, 1.0), ("p", "84", 1.0), (None, "85", 2.0), ("q", "1", None)], "a string, b string, x double")
+    asked = {"metrics": ["most"], "dimensions": ["a", "b"]}
+    rows = [r.asDict() for r in agent.Agent({"t": t}, None, model).query_shipments(**asked).collect()]
+    assert _labelled(3, asked, rows) == [(3, None, 2.0), (3, "p|84", 1.0), (3, None, 1.0), (3, "q|1", None)]
+
+
 def test_quality_suite(spark, world):
     kinds = {}
     for c in checks.suite():
