@@ -7,6 +7,9 @@ them goes as a whole. One narrow projection: no shuffle and no Python.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +35,43 @@ def line_passes(line: Column, max_symbols: float, max_repeats: float, repeat_fro
     ``repeat_from`` words or more, at most ``max_repeats`` equal the word
     before.
     """
-    words = F.split(line, " ", -1)
-    repeats = F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)
-    letters = F.regexp_replace(line, LETTERS, "")
-    shouted = (F.length(letters) >= 4) & (F.upper(line) == line) & (F.lower(line) != line) & ((F.size(words) >= 5) | line.contains("!!"))
+    # Cheap tests that settle most lines come first, patterns only where these leave it open: And and Or stop at what decides them.
+    n_words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    ended = _any(line.endswith(x) for x in ".!?…:;") | line.rlike(TERMINAL) | line.rlike(SENTENCE)
+    shouted = (F.upper(line) == line) & (F.lower(line) != line) & ((n_words >= 5) | line.contains("!!")) & (F.length(F.regexp_replace(line, LETTERS, "")) >= 4)
+    navigation = ((F.length(line) <= _MENU_CHARS) | _any(line.contains(x) for x in _RULERS)) & line.rlike(NAVIGATION)
+    boilerplate = _with(F.lower(line), lambda low: _any(low.contains(x) for x in _STOCK)) & line.rlike(BOILERPLATE)
     return (
-        (line.rlike(TERMINAL) | line.rlike(SENTENCE))
+        ended
         & (F.length(F.regexp_replace(line, SYMBOLS, "")) >= F.length(line) * F.lit(1.0 - max_symbols))
         & ~shouted
-        & ~line.rlike(NAVIGATION)
-        & ~line.rlike(BOILERPLATE)
-        & ((F.size(words) < repeat_from) | (F.size(repeats) <= F.size(words) * F.lit(max_repeats)))
+        & ~navigation
+        & ~boilerplate
+        & ((n_words < repeat_from) | _with(F.split(line, " ", -1), lambda words: _few_repeats(words, max_repeats)))
     )
 
 
+#: Without one of these, or of so few characters (those of the longest menu word, and line ends), nothing is navigation.
+_RULERS, _MENU_CHARS = (" | ", " » ", " > ", " · "), 20
+#: Each stock phrase of BOILERPLATE has one of these in it.
+_STOCK = ("reserved", "copyright", "ed under", "privacy policy", "terms of ", "cookie", "subscribe to our", "click here", "javascript", "powered by", "lorem ipsum")
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, tests)
+
+
+def _with(value: Column, test: Callable[[Column], Column]) -> Column:
+    """``test`` of a value that is computed once, however often the test uses it."""
+    return F.exists(F.array(value), test)
+
+
+def _few_repeats(words: Column, most: float) -> Column:
+    """At most that part of the words equals the word before. There are no more such words than there are words less different ones."""
+    repeats = F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda x: x)
+    return (F.size(words) - F.size(F.array_distinct(words)) <= F.size(words) * F.lit(most)) | (F.size(repeats) <= F.size(words) * F.lit(most))
+
+
 def clean_lines(
     docs: DataFrame, text: str = "text", n_chars: str = "n_chars", max_lost: float = 0.5, max_symbols: float = 0.1, max_repeats: float = 0.5, repeat_from: int = 10
 ) -> DataFrame:
