@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from portolan.functions import money, text, vector
 from portolan.operators import relational as rel
 from portolan.operators.components import connected_components
-from portolan.operators.similarity import cosine_top_k
+from portolan.operators.similarity import cosine_sums, cosine_top_k
 from portolan.plans import entities, gold, probes, profile, scenario  # noqa: F401  (probes register their own queries)
 from portolan.plans.queries import oracle_sql, queries, query, table  # noqa: F401
 from portolan.plans.semantic import Dimension, Metric, Model, Relationship
@@ -180,10 +180,7 @@ _SIM = "list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[])"
 
 @query(f"""SELECT q.vec_id, round(sum({_SIM}), 4) AS sim_sum, count(*) AS n FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id GROUP BY q.vec_id""")
 def q_cosine_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q, r = e.select("vec_id", "label", F.col("embedding").alias("a")), e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b"))
-    pairs = q.join(r, "label").filter("vec_id != other")
-    return pairs.groupBy("vec_id").agg(F.round(F.sum(vector.cosine(F.col("a"), F.col("b"))), 4).alias("sim_sum"), F.count("*").alias("n"))
+    return cosine_sums(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").withColumn("sim_sum", F.round("sim_sum", 4))
 
 
 @query("""SELECT vec_id, count(*)::BIGINT AS n, round(sum(sim), 6) AS sim_sum FROM (SELECT q.vec_id, r.vec_id AS ref_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS sim,

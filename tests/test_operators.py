@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from portolan.operators import relational as rel
 from portolan.operators.components import connected_components, spanning_forest
-from portolan.operators.similarity import cosine_top_k
+from portolan.operators.similarity import cosine_sums, cosine_top_k
 
 
 def brute_components(edges):
@@ -171,3 +171,21 @@ def test_top_k(spark, limit):
     assert cosine_top_k(queries, refs.limit(0), "a", "v", "code", 5).count() == 0
     mine = cosine_top_k(refs.select(F.col("code").alias("me"), "v"), refs.select("code", F.col("v").alias("w")), "v", "w", "code", 3, exclude_equal="me", limit=limit)
     assert not mine.filter("me = code").count() and mine.count() == 270
+
+
+def test_cosine_sums(spark):
+    """As over all pairs, which aren't formed: ids with several vectors, missing keys, vectors without length or direction."""
+    from portolan.functions.vector import cosine
+
+    r = random.Random(3)
+    rows = [(r.randint(0, 30), r.choice([1, 2, None]), [r.gauss(0, 1) for _ in range(r.choice([4, 4, 4, 3]))]) for _ in range(120)]
+    rows += [(40, 1, [0.0] * 4), (41, 1, None), (42, 1, [1.0, None, 2.0, 3.0]), (None, 1, [1.0] * 4), (43, 5, [1.0, 2.0]), (44, 6, [0.0, 0.0]), (45, 6, [1.0, 0.0]), (45, 6, [0.5, 0.5]), (46, 7, [float("nan"), 1.0]), (47, 7, [1.0, 1.0]), (48, 7, [0.0, 0.0]), (49, 7, None), (50, 8, [float("inf"), 1.0]), (51, 8, [1.0, 1.0]), (51, 8, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>").repartition(3)
+    a, b = df.select("id", "g", F.col("v").alias("a")), df.select(F.col("id").alias("other"), "g", F.col("v").alias("b"))
+    want = a.join(b, "g").filter("id != other").groupBy("id").agg(F.sum(cosine(F.col("a"), F.col("b"))).alias("sim_sum"), F.count("*").alias("n"))
+    said = lambda d: sorted((x["id"], "-" if x["sim_sum"] is None else f"{x['sim_sum'] + 0.0:.6f}".replace("-0.000000", "0.000000"), x["n"]) for x in d.collect())
+    got = cosine_sums(df, "id", "g", "v")
+    assert said(got) == said(want)
+    # 30,000 rows of one group: 900 million pairs
+    many = spark.range(30_000).select("id", F.lit(1).alias("g"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("v"))
+    assert cosine_sums(many, "id", "g", "v").agg(F.sum("n"), F.count("*")).first()[:] == (30_000 * 29_999, 30_000)
