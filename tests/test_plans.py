@@ -496,3 +496,27 @@ def test_a_writer_that_ends_half_way_leaves_the_old_table(spark, tmp_path):
     assert tables.read_if_exists(spark, str(path)).count() == 3
     path.rename(tmp_path / "t.before")
     assert tables.replace_table(spark.range(5), str(path)).count() == 5 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]
+
+
+@pytest.mark.parametrize("block", ["150b", "128m"])
+def test_a_long_schedule_is_read_in_blocks(spark, tmp_path, block):
+    """Lists of any layout, cut anywhere: as the plain reader has them. Before, one task read the whole list."""
+    rows = [{"htsno": f"8708.99.{i % 90 + 10}", "description": "x" * (i % 150) + ' }{ ], "quoted" \\ {[' * (i % 3), "indent": str(i), "units": [["No."], []][i % 2], "footnotes": [{"value": f"See }} {i}"}, {"columns": [{}]}, "plain"]} for i in range(20)]
+    one = json.dumps(rows)
+    texts = [one, json.dumps(rows, indent=1) + "\n", json.dumps(rows[0]), "[]", one[:-1], json.dumps([1, *rows]), one.replace("]}, {", "]} {", 1), one.replace('"indent": "7"', '"indent": 7x')]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        for k, text in enumerate(texts):
+            path = tmp_path / str(k)
+            path.mkdir()
+            (path / "a.json").write_text(text)
+            (path / "b.json").write_text(json.dumps(rows[:2]))
+            key = lambda df: sorted(map(str, hts.flatten_hts(df).drop("ingested_at").collect()))
+            assert key(hts.read_hts_json(spark, [str(path)])) == key(spark.read.schema(hts._RAW).json(str(path), multiLine=True)), text[:80]
+        lists = hts._list_records(spark, str(tmp_path / "0"))
+        assert lists.count() == len(rows) + 2 and hts._list_records(spark, str(tmp_path / "4")) is None
+        if block == "150b":
+            assert spark.read.text(str(tmp_path / "0"), lineSep="}").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
