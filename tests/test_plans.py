@@ -520,3 +520,39 @@ def test_a_long_schedule_is_read_in_blocks(spark, tmp_path, block):
             assert spark.read.text(str(tmp_path / "0"), lineSep="}").rdd.getNumPartitions() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stages_are_built_when_asked_for(spark, tmp_path):
+    r, built = Registry(), []
+
+    def stage(name, *inputs):
+        r.stage(name, "x", inputs)(lambda *dfs, name=name: built.append(name) or spark.range(1 + len(dfs)))
+
+    for s in (("a", "raw"), ("b", "a"), ("c", "a", "b"), ("d", "raw"), ("e", "nowhere")):
+        stage(*s)
+    t = r.on_demand({"raw": spark.range(1)}, str(tmp_path))
+    assert t["raw"].count() == 1 and built == [] and "c" in t and "f" not in t and set(t) == {"raw", *"abcde"} and len(t) == 6
+    assert t["c"].count() == 3 and built == ["a", "b", "c"]
+    assert t["b"].count() == 2 and built == ["a", "b", "c"]
+    for missing in "fe":
+        with pytest.raises(KeyError):
+            t[missing]
+    assert built == ["a", "b", "c"]
+
+
+def test_queries_of_raw_tables_build_no_stage(spark, sf):
+    """All stages were built first, whatever a query reads."""
+    from portolan.plans import catalogue, world
+
+    before = dict(world._WORLDS)
+    world._WORLDS.clear()
+    try:
+        for name in ("w_in_scope", "w_trace_stats", "w_name_variants", "w_naive_exposure", "w_port_origins"):
+            assert catalogue.queries()[name](spark, sf).count()
+        tables = world.world(spark, sf)
+        assert set(tables._tables) == set(world.RAW)
+        assert catalogue.queries()["w_bronze_10k"](spark, sf).count() and set(tables._tables) == {*world.RAW, "bronze_10k"}
+        assert catalogue.queries()["w_dim_consignee"](spark, sf).count()
+        assert not {"silver_bol_shipments", "int_supplier_name_normalized", "int_hs_candidates", "fact_shipments"} & set(tables._tables)
+    finally:
+        world._WORLDS.update(before)
