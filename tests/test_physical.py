@@ -48,3 +48,9 @@ def test_chunks_and_html_stay_in_the_jvm(spark, sf):
         p = plan(catalogue.queries()[name](spark, sf))
         assert "Python" not in p and "Arrow" not in p
     assert "Exchange" not in plan(rel.text_chunks(spark.read.parquet(f"{sf}/documents.parquet"), "text"))
+
+
+def test_mart_holds_no_group_in_one_task(spark, sf):
+    """Windows over a group kept all its holders in one task."""
+    p = plan(catalogue.q_concentration_mart(spark, sf))
+    assert "Window" not in p and "ObjectHash" not in p and "sum(" in p
