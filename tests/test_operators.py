@@ -189,3 +189,22 @@ def test_cosine_sums(spark):
     # 30,000 rows of one group: 900 million pairs
     many = spark.range(30_000).select("id", F.lit(1).alias("g"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("v"))
     assert cosine_sums(many, "id", "g", "v").agg(F.sum("n"), F.count("*")).first()[:] == (30_000 * 29_999, 30_000)
+
+
+def test_top_k_holds_blocks_of_similarities():
+    """As from one product with all references, which took three times its size on top."""
+    import tracemalloc
+
+    from portolan.operators.similarity import _best, _best_in_blocks
+
+    r = np.random.default_rng(1)
+    x, q = r.integers(-3, 4, (60_000, 8)).astype(float), r.integers(-3, 4, (700, 8)).astype(float)  # many ties
+    x, q = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (x, q))
+    tracemalloc.start()
+    at, sims = _best_in_blocks(q, x, 5)
+    assert tracemalloc.get_traced_memory()[1] < 150e6  # one product: 168 MB, its order 336 MB
+    tracemalloc.stop()
+    want = _best(q, x, x.astype(np.float32), np.arange(len(x)), 5)
+    assert (at == want[0]).all() and np.allclose(sims, want[1])
+    at, sims = _best_in_blocks(q[:2], x[:3], 5)
+    assert at.shape == (2, 3)
