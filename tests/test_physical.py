@@ -54,3 +54,22 @@ def test_mart_holds_no_group_in_one_task(spark, sf):
     """Windows over a group kept all its holders in one task."""
     p = plan(catalogue.q_concentration_mart(spark, sf))
     assert "Window" not in p and "ObjectHash" not in p and "sum(" in p
+
+
+def test_stored_keys_are_not_broadcast(spark):
+    """A table of keys that looked small by its file was held as a whole in each task."""
+    a, b = spark.range(10).withColumnRenamed("id", "k"), spark.range(5).withColumnRenamed("id", "k")
+    for safe in (True, False):
+        df = rel.anti_by(a, b, ["k"], null_safe=safe)
+        assert df.count() == 5 and "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_postings_are_not_added_up_by_tasks(spark):
+    """Texts were taken apart and added up again in tables as large as all words of a task."""
+    from portolan.plans import search
+
+    docs = spark.createDataFrame([(1, "b a B, aa aa. AA x2"), (2, ""), (3, None), (4, "été aa")], "k long, t string").withColumn("n_words", F.size(search.words(F.col("t"))).cast("long"))
+    got = search._postings_of_unique(docs, "k", "t")
+    assert "Aggregate" not in plan(got)
+    rows = lambda df: sorted(map(tuple, df.select("k", "n_words", "word", "tf", "bucket").collect()))
+    assert rows(got) == rows(search._postings(docs, "k", "t")) and len(rows(got)) == 4
