@@ -556,3 +556,46 @@ def test_queries_of_raw_tables_build_no_stage(spark, sf):
         assert not {"silver_bol_shipments", "int_supplier_name_normalized", "int_hs_candidates", "fact_shipments"} & set(tables._tables)
     finally:
         world._WORLDS.update(before)
+
+
+def test_broken_lines_are_read_once(spark, tmp_path, monkeypatch):
+    """Files of multi-line records were read, shuffled and written twice; those that are broken both ways still are, and the better reading is kept."""
+    names, tries = [f.name for f in BOL.fields], []
+    line = lambda **kw: ",".join(str(kw.get(n, "")) for n in names)
+    real = bol._read
+    monkeypatch.setattr(bol, "_read", lambda s, p, multi_line: tries.append(multi_line) or real(s, p, multi_line))
+    good, two, bad = line(identifier=1, text="plain"), line(identifier=2, text='"a\nb, ""c"""'), line(identifier="abc")
+    odd = line(identifier=3, text='5" pipe')  # no broken line
+    for k, (rows, want) in enumerate([([good, two], ([True], True, 2, 0)), ([good, two, bad], ([True, False], True, 2, 1)), ([good, odd], ([False], False, 2, 0)), ([good], ([False], False, 1, 0)), ([good, bad], ([False, True], False, 1, 1))]):
+        path = tmp_path / f"{k}.csv"
+        path.write_text("\n".join([",".join(names), *rows]) + "\n")
+        tries.clear()
+        df, report = bol.load_bol(spark, str(path), 2)
+        assert (tries, report.multi_line, report.rows_loaded, report.rows_rejected) == want, rows
+        assert df.count() == want[2]
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(3):
+        (many / f"{k}.csv").write_text(",".join(names) + "\n" + good + "\n")
+    seen, kept = [], bol.materialize
+    monkeypatch.setattr(bol, "materialize", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        assert bol.load_bol(spark, str(many), 2)[0].count() == 3 and "Exchange" not in seen[0]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_small_filings_share_tasks(spark, tmp_path):
+    """Every thirty files had a task of their own."""
+    for k in range(60):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}\nend")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        df = filings.read_submissions(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == 16 and df.columns == ["path", "submission"]
+        assert {(r[0].rpartition("/")[2], r[1]) for r in df.collect()} == {(f"{k}.txt", f"text {k}\nend") for k in range(60)}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
